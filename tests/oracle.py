@@ -1,0 +1,29 @@
+"""Runs a query and its SQL on the same tables and compares the rows."""
+
+import math
+from pathlib import Path
+
+import duckdb
+
+
+def _cell(x):
+    return round(x, 9) if isinstance(x, float) and not math.isnan(x) else str(x)
+
+
+def sql_rows(sql, sf_dir):
+    con = duckdb.connect()
+    for p in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    out = con.execute(sql)
+    names = [d[0] for d in out.description]
+    return names, out.fetchall()
+
+
+def assert_same(df, sql, sf_dir):
+    names, rows = sql_rows(sql, sf_dir)
+    assert sorted(df.columns) == sorted(names)
+    got = sorted(tuple(_cell(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    at = [names.index(c) for c in sorted(names)]
+    want = sorted(tuple(_cell(r[i]) for i in at) for r in rows)
+    assert len(got) == len(want)
+    assert got == want
