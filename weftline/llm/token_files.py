@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,29 @@ _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
 
 
+#: Signs that, at the end of a piece and after a letter or digit, are a token group of their own.
+_SIGNS = ".,!?;:|&%$*#()[]{}\"-"
+
+
+class _Numbers(dict):
+    """piece -> its number; new pieces are numbered and listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """encode() of the tokenizers library, with the ids of pieces kept.
 
     The byte-level pattern always starts a new token group at a space that follows a character other
-    than white space; so the text is cut there, and each different piece is encoded by the library once.
+    than white space, and at a sign that follows a letter or digit; so the text is cut at the spaces, signs at
+    a new piece's end are cut off, and each different piece is encoded by the library once.
     """
 
     def __init__(self, path: str):
@@ -47,47 +66,66 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), [0], 0
+        self.numbers = _Numbers()
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces of text; one without a leading "\\0" stands for itself after a space."""
+        """Pieces of text; one without a leading "\0" stands for itself after a space."""
         if _SPACED.search(text):
             return ["\0" + p for p in _CUT.split(text)]
         parts = text.split(" ")
         parts[0] = "\0" + parts[0]
         return parts
 
-    def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in new], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        total = self.used + sum(map(len, ids))
-        if total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(total, len(self.flat)), np.uint32)])
-        for x in ids:
-            self.flat[self.used : self.used + len(x)] = x
-            self.used += len(x)
-            self.starts.append(self.used)
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered pieces in a row, and where each piece's ids end."""
+        n = self.length[at]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.start[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        end = self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
+        self.ids[self.used : end] = ids
+        self.start[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.length[numbers] = lengths
+        self.used = end
+
+    def _learn(self) -> None:
+        numbers, whole, texts, joined = self.numbers, [], [], []
+        for p in numbers.new:  # grows by the parts of its members
+            body = p.rstrip(_SIGNS)
+            if body != p and body[-1:].isalnum():
+                joined += (numbers[p], numbers[body], numbers["\0" + p[len(body) :]])
+            else:
+                whole.append(numbers[p])
+                texts.append(p[1:] if p[:1] == "\0" else " " + p)
+        numbers.new = []
+        if (more := len(numbers) - len(self.start)) > 0:
+            self.start, self.length = (np.pad(x, (0, max(more, len(x)))) for x in (self.start, self.length))
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._keep(np.array(whole, np.int64), np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        if joined:
+            parts = np.array(joined).reshape(-1, 3)
+            flat, _ = self._gather(parts[:, 1:].ravel())
+            self._keep(parts[:, 0], flat, self.length[parts[:, 1]] + self.length[parts[:, 2]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text."""
-        if len(self.index) > CACHE_ENTRIES:
+        if not texts:
+            return []
+        if len(self.numbers) > CACHE_ENTRIES:
             self.clear()
         each = [self.pieces(t) for t in texts]
-        index, new = self.index, []
-        for p in {p for ps in each for p in ps}:
-            if p not in index:
-                index[p] = len(index)
-                new.append(p)
-        if new:
-            self._learn(new)
-        starts = np.array(self.starts)
-        at = np.fromiter((index[p] for ps in each for p in ps), np.int64, sum(map(len, each)))
-        n = starts[at + 1] - starts[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(each)), np.int64, sum(map(len, each)))
+        if self.numbers.new:
+            self._learn()
+        ids, ends = self._gather(at)
         last = np.cumsum([len(ps) for ps in each]) - 1
-        return np.split(ids, ends[last][:-1]) if texts else []
+        return np.split(ids, ends[last][:-1])
 
     def encode_long(self, text: str) -> np.ndarray:
         """encode() of one text in steps, so that a very long one needs little more than its ids."""
