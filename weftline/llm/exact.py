@@ -75,7 +75,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     named = saved(block_names(docs, id_col, text_col, block), "identity")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    groups = named.groupBy("level", "name").agg(F.min(rank).alias("keep"), F.count("*").alias("group_size"))
+    # Written, so that the join below deals both its sides out anew and Spark can split a large group.
+    groups = saved(named.groupBy("level", "name").agg(F.min(rank).alias("keep"), F.count("*").alias("group_size")), "groups")
     out = named.join(groups, ["level", "name"])
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
 
