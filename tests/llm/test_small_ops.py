@@ -101,6 +101,26 @@ def test_pieces_encode_as_the_whole(text):
     assert encoder.encode_long(text).tolist() == want
 
 
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = [r"one two three, two Éa éa! four", "two three five.\nsix two", "été one. four four"]
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (2, 12):
+        monkeypatch.setattr(token_files, "CACHE_ENTRIES", limit)
+        for k in range(9):
+            assert encoder.encode([texts[k % 3]])[0].tolist() == want[k % 3]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_kinds_of_tokenizers(spark, name):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in token_files.token_digests(odd(spark), path).collect()}
+    assert all(got[r[0]] == len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in ODD)
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,11 @@ _CUT = re.compile(r"(?<!\s)(?= )")
 _SIGNS = ".,!?;:|&%$*#()[]{}\"-"
 
 
+#: The character that byte-level vocabularies write for each byte: itself where it is visible in Latin-1, else one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _SHOWN else 256 + b - sum(x < b for x in _SHOWN) for b in range(256)}
+
+
 class _Numbers(dict):
     """piece -> its number; new pieces are numbered and listed."""
 
@@ -60,15 +65,33 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The rules below hold for this kind only; texts are encoded whole by others.
+        self.by_pieces = isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None and isinstance(self.model, BPE) and not any(" " in t or t.isalpha() for t in added)
         self.clear()
 
     def clear(self) -> None:
         self.numbers = _Numbers()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.length, self.seen = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keeps the pieces seen more than once, or none where those are too many."""
+        old = list(compress(self.numbers, self.seen[: len(self.numbers)] > 1))
+        at = np.flatnonzero(self.seen[: len(self.numbers)] > 1)
+        ids, lengths = self._gather(at)[0], self.length[at]
+        self.clear()
+        if len(old) < CACHE_ENTRIES // 2:
+            self.numbers.update(zip(old, range(len(old)), strict=True))
+            self.start, self.length, self.seen = (np.zeros(len(old) + 1, np.int64) for _ in range(3))
+            self._keep(np.arange(len(old)), ids, lengths)
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of text; one without a leading "\0" stands for itself after a space."""
@@ -94,20 +117,24 @@ class Encoder:
         self.used = end
 
     def _learn(self) -> None:
-        numbers, whole, texts, joined = self.numbers, [], [], []
+        numbers, whole, texts, joined, words, ids = self.numbers, [], [], [], [], []
         for p in numbers.new:  # grows by the parts of its members
             body = p.rstrip(_SIGNS)
             if body != p and body[-1:].isalnum():
                 joined += (numbers[p], numbers[body], numbers["\0" + p[len(body) :]])
+            elif p.isalpha():  # one token group: the model alone will do
+                words.append(numbers[p])
+                shown = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+                ids.append([t.id for t in self.model.tokenize("\u0120" + shown)])
             else:
                 whole.append(numbers[p])
                 texts.append(p[1:] if p[:1] == "\0" else " " + p)
         numbers.new = []
         if (more := len(numbers) - len(self.start)) > 0:
-            self.start, self.length = (np.pad(x, (0, max(more, len(x)))) for x in (self.start, self.length))
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.start, self.length, self.seen = (np.pad(x, (0, max(more, len(x)))) for x in (self.start, self.length, self.seen))
+        ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._keep(np.array(whole, np.int64), np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        self._keep(np.array(words + whole, np.int64), np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
         if joined:
             parts = np.array(joined).reshape(-1, 3)
             flat, _ = self._gather(parts[:, 1:].ravel())
@@ -117,18 +144,23 @@ class Encoder:
         """ids of each text."""
         if not texts:
             return []
+        if not self.by_pieces:
+            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.numbers) > CACHE_ENTRIES:
-            self.clear()
+            self.forget()
         each = [self.pieces(t) for t in texts]
         at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(each)), np.int64, sum(map(len, each)))
         if self.numbers.new:
             self._learn()
+        self.seen[: len(self.numbers)] += np.bincount(at, minlength=len(self.numbers))
         ids, ends = self._gather(at)
         last = np.cumsum([len(ps) for ps in each]) - 1
         return np.split(ids, ends[last][:-1])
 
     def encode_long(self, text: str) -> np.ndarray:
         """encode() of one text in steps, so that a very long one needs little more than its ids."""
+        if not self.by_pieces:
+            return self.encode([text])[0]
         out, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, min(len(text), at + STEP))
