@@ -85,11 +85,17 @@ def test_files_give_back_all_ids_in_order(spark):
     assert by_rank == sorted(by_rank, reverse=True) and len(ranks) == (counts > 0).sum()
 
 
-@given(st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1]) | st.integers(0, 2**32 - 1), max_size=40))
-def test_coding_round_trip(ranks):
-    control, data = token_files.control_and_data(np.array(ranks, np.uint32))
-    assert len(control) == -(-len(ranks) // 4)
-    assert token_files.ranks_from(control, data, len(ranks)).tolist() == ranks
+@given(st.lists(st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1]) | st.integers(0, 2**32 - 1), max_size=9), max_size=6))
+def test_coding_round_trip(rows):
+    n = np.array([len(r) for r in rows], np.int64)
+    flat = np.array([x for r in rows for x in r], np.uint32)
+    control, control_ends, data, data_ends = token_files.control_and_data(flat, n)
+    assert token_files.ranks_from(control, data, n).tolist() == flat.tolist()
+    at = [0, 0]
+    for r, a, b in zip(rows, control_ends, data_ends, strict=True):  # each row by itself too
+        assert a - at[0] == -(-len(r) // 4)
+        assert token_files.ranks_from(control[at[0] : a], data[at[1] : b], np.array([len(r)])).tolist() == r
+        at = [a, b]
 
 
 @settings(max_examples=300, deadline=None)

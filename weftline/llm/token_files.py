@@ -12,6 +12,7 @@ Parquet is the container because Spark's commit protocol makes it whole on any s
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -151,7 +152,11 @@ class Encoder:
         each = [self.pieces(t) for t in texts]
         at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(each)), np.int64, sum(map(len, each)))
         if self.numbers.new:
-            self._learn()
+            gc.disable()  # many small lists at once; none of them in a cycle
+            try:
+                self._learn()
+            finally:
+                gc.enable()
         self.seen[: len(self.numbers)] += np.bincount(at, minlength=len(self.numbers))
         ids, ends = self._gather(at)
         last = np.cumsum([len(ps) for ps in each]) - 1
@@ -179,28 +184,46 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def control_and_data(ranks: np.ndarray) -> tuple[bytes, bytes]:
+def control_and_data(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes rows of ranks that lie one after the other, counts of them: control bytes, their ends by row, data bytes, their ends."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
-    padded[: len(code)] = code
-    quads = padded.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    ends, control_ends = np.cumsum(counts), np.cumsum(-(-counts // 4))
+    data_ends = np.concatenate([[0], np.cumsum(code + 1, dtype=np.int64)])[ends]
+    quads = np.zeros(4 * (int(control_ends[-1]) if len(counts) else 0), np.uint8)
+    quads[np.arange(len(code)) + np.repeat(4 * control_ends - ends - (4 * -(-counts // 4) - counts), counts)] = code
+    quads = quads.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    return control, control_ends, data, data_ends
 
 
 #: For each control byte, which of its four ranks' 16 bytes are stored.
 MASKS = np.array([[b <= (c >> 2 * k & 3) for k in range(4) for b in range(4)] for c in range(256)])
 
 
-def ranks_from(control: bytes, data: bytes, n: int) -> np.ndarray:
-    mask = MASKS[np.frombuffer(control, np.uint8)].reshape(-1, 4)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[mask] = np.frombuffer(data, np.uint8)
+def ranks_from(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of all rows, one after the other, from their control and data bytes."""
+    last = np.repeat(counts, -(-counts // 4)) - 4 * (np.arange(len(control)) - np.repeat(np.cumsum(-(-counts // 4)) + counts // -4, -(-counts // 4)))
+    used = np.arange(4) < last[:, None]
+    mask = MASKS[control].reshape(-1, 4)[used.ravel()]
+    out = np.zeros((len(mask), 4), np.uint8)
+    out[mask] = data
     return out.view("<u4").ravel()
 
 
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of consecutive pieces of data."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", ordered: bool = True) -> None:
     """Encodes docs' whole texts and writes the folder.
 
@@ -212,21 +235,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ordered:
         rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    tail = [] if end_id is None else [end_id]
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
+
+    wide = "<u2" if max(_encoder(tokenizer).size, *tail, 0) <= 1 << 16 else "<u4"
 
     def tokens(batches):
         encoder = _encoder(tokenizer)
-        wide = "<u2" if max(encoder.size, *tail, 0) <= 1 << 16 else "<u4"
         counts, shard, start = np.zeros(max(encoder.size, *(x + 1 for x in tail), 1), np.int64), TaskContext.get().partitionId(), 0
         names = ["kind", "shard", "start", "doc_id", "n_tokens", "ids"]
         for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
             each = [encoder.encode_long(t) for t in texts] if len(texts) == 1 else encoder.encode(texts)
-            each = [np.concatenate([x, tail]).astype(wide) for x in each]
-            n = np.array([len(x) for x in each], np.int64)
-            counts += np.bincount(np.concatenate(each), minlength=len(counts)).astype(np.int64)
+            flat = np.concatenate([y for x in each for y in (x, tail)]).astype(wide)
+            n = np.array([len(x) + len(tail) for x in each], np.int64)
+            counts += np.bincount(flat, minlength=len(counts))
             begin = start + np.cumsum(n) - n
             start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), pa.array([shard] * len(n), pa.int32()), pa.array(begin), pa.array(ids, pa.int64()), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), pa.array([shard] * len(n), pa.int32()), pa.array(begin), pa.array(ids, pa.int64()), pa.array(n), _binary(flat.view(np.uint8), np.cumsum(n) * flat.itemsize)], names=names)
         if start:
             yield pa.RecordBatch.from_arrays([pa.array([len(counts)], pa.int32()), pa.array([shard], pa.int32()), pa.array([0], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
 
@@ -251,10 +275,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
     def coded(batches):
         for batch in batches:
-            n = batch.column(4).to_pylist()
-            # The stored width follows from the lengths, so it needs no flag.
-            both = [control_and_data(ranks.value[np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4")]) for k, x in zip(n, batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3, 4)), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], names=["shard", "start", "doc_id", "n_tokens", "control", "data"])
+            n = batch.column(4).to_numpy()
+            control, control_ends, data, data_ends = control_and_data(ranks.value[_bytes_of(batch.column(5)).view(wide)], n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3, 4)), _binary(control, control_ends), _binary(data, data_ends)], names=["shard", "start", "doc_id", "n_tokens", "control", "data"])
 
     made.filter("kind = 0").mapInArrow(coded, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/docs")
 
@@ -275,8 +298,9 @@ def read_token_files(spark: SparkSession, path: str, schema: str, per_document)
     def decoded(batches):
         for batch in batches:
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("shard", "start", "doc_id", "n_tokens")}
-            control, data = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("control", "data"))
-            rows = [per_document(ids.value[ranks_from(c, d, n)]) for c, d, n in zip(control, data, cols["n_tokens"].to_pylist(), strict=True)]
+            n = cols["n_tokens"].to_numpy()
+            flat = ids.value[ranks_from(*(_bytes_of(batch.column(batch.schema.get_field_index(c))) for c in ("control", "data")), n)]
+            rows = [per_document(x) for x in np.split(flat, np.cumsum(n)[:-1])] if len(n) else []
             yield pa.RecordBatch.from_arrays([*cols.values(), *(pa.array(x) for x in zip(*rows, strict=True))], names=[*cols, *names])
 
     out = docs.mapInArrow(decoded, f"shard int, start long, doc_id long, n_tokens long, {schema}").join(F.broadcast(shards), "shard")
