@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Entries of a per-process cache before it is emptied; the results don't depend on it.
 CACHE_ENTRIES = 1_000_000
@@ -46,6 +47,10 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_columns(schema: StructType, more: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied when full."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, exact, mixing, token_files
+from weftline.llm import chat, decontaminate, exact, language, mixing, quality, token_files
 from weftline.llm.common import table
 
 
@@ -24,6 +24,18 @@ def op4_chat_rotation(spark, sf_dir):
     return chat.with_text_mask(chat.rotate(table(spark, sf_dir, "conversations")))
 
 
+def op5_quality_votes(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language(spark, sf_dir):
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +44,9 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_rotation": op4_chat_rotation,
+    "op5_quality_votes": op5_quality_votes,
+    "op6_decontamination": op6_decontamination,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 
