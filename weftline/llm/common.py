@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +102,23 @@ def pieces_of(batches, columns: list[str], size_of: str, most: int) -> Iterator[
             end = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield [c.slice(at, end - at).to_pylist() for c in cols]
             at = end
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of 2**bits bits over the top bits of a column of hashes, made by a few tasks and joined on the driver."""
+
+    def mapped(batches):
+        found = np.zeros(1 << bits, bool)
+        for batch in batches:
+            found[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()])], names=["bits"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in hashes.coalesce(4).mapInArrow(mapped, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    at = hashes >> np.uint64(64 - bits)
+    return (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import broadcast_if_small, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import bitmap_of, broadcast_if_small, in_bitmap, ngram_hashes, pieces_of, saved, word_hashes
 
 #: Words of a seed, and the share of an item's seeds, the rarest in the corpus, that are looked up.
 SEED, RAREST = 3, 0.75
@@ -31,26 +31,6 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace").translate(None, _SIGNS))
 
 
-def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """Bitmap of a column of hashes, FILTER_BITS bits, made up by tasks and joined on the driver."""
-
-    def mapped(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
-
-    found = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in hashes.coalesce(4).mapInArrow(mapped, "bits binary").toLocalIterator():
-        found |= np.frombuffer(r.bits, np.uint8)
-    return found
-
-
-def _flagged(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = grams >> np.uint64(64 - FILTER_BITS)
-    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-
-
 def item_words(benchmark: DataFrame) -> DataFrame:
     """item_id, text's word hashes as uint32 and its seeds; repeated rows of one id and text count once."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
@@ -70,12 +50,12 @@ def rare_seeds(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
     """item, h: of each item the RAREST part of its seeds, by the number of documents that hold them (counted over all); ties are all taken."""
     spark = docs.sparkSession
     seeds = items.select("item", F.explode("seeds").alias("h"))
-    bits = spark.sparkContext.broadcast(_filter_of(seeds.select("h")))
+    bits = spark.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
 
     def counted(batches):
         for (texts,) in pieces_of(batches, ["text"], "text", STEP):
             grams = [ngram_hashes(words_of(t), SEED) for t in texts]
-            held = [np.unique(g[_flagged(g, bits.value)]) for g in grams]
+            held = [np.unique(g[in_bitmap(g, bits.value, FILTER_BITS)]) for g in grams]
             h, n = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -90,7 +70,7 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: int, id_col: str
 
     Every passage of up to width words lies within one of them. rid numbers the rows read.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(seeds.select("h")))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def tiled(batches):
@@ -100,7 +80,7 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: int, id_col: str
             for doc_id, text in zip(ids, texts, strict=True):
                 words = words_of(text)
                 grams = ngram_hashes(words, SEED)
-                at = np.flatnonzero(_flagged(grams, bits.value))
+                at = np.flatnonzero(in_bitmap(grams, bits.value, FILTER_BITS))
                 for k in sorted({t for t in (*(at // width).tolist(), *(at // width - 1).tolist()) if t >= 0}):
                     lo, hi = np.searchsorted(at, [k * width, (k + 2) * width])
                     out.append((base + row, k, doc_id, words[k * width : (k + 2) * width].astype("<u4").tobytes(), np.unique(grams[at[lo:hi]]).view(np.int64)))

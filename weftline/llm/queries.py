@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, exact, language, mixing, quality, token_files
+from weftline.llm import chat, decontaminate, exact, language, mixing, quality, substrings, token_files
 from weftline.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_chat_rotation": op4_chat_rotation,
     "op5_quality_votes": op5_quality_votes,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
