@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, exact, language, mixing, quality, substrings, token_files
+from weftline.llm import chat, decontaminate, exact, language, mixing, quality, scoring, substrings, token_files
 from weftline.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_substring_dedup(spark, sf_dir):
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_bloom_lm(spark, sf_dir):
+    return scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_quality_votes": op5_quality_votes,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_bloom_lm": op8_bloom_lm,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
