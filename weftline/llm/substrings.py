@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import bitmap_of, in_bitmap, mixed, pieces_of, saved
 
-#: A chunk ends where the top CUT_BITS bits of the hash of the last 16 bytes are 0: every 32 bytes on the mean.
-CUT_BITS = 5
-#: Words that a run of repeated chunks has at least. A passage loses its bytes up to the first cut, which other text
-#: decides, and after the last: 13 words on the mean. So passages over 50 words are found all but surely, and shorter
-#: ones than this never are.
-LEAST_WORDS = 20
+#: A chunk ends where the top CUT_BITS bits of the hash of the last 16 bytes are 0: every 16 bytes on the mean.
+CUT_BITS = 4
+#: Words that a run of repeated chunks has at least. A passage loses its bytes up to the first cut that other text
+#: doesn't decide, and after the last: 8 words on the mean. So passages over 50 words are found all but surely (a
+#: passage of 51 words is missed with a chance of 1 in 150), and repeats shorter than this never count.
+LEAST_WORDS = 30
 #: Bits of the filter over digests that is broadcast. A full one lets more rows pass, but no result changes.
 FILTER_BITS = 26
 STEP = 2_000_000
