@@ -75,9 +75,9 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), at[lang])), pa.array(used), pa.array(n[used])], names=["lang", "bucket", "n"])
 
-    sums = rows.mapInArrow(counted, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInArrow(counted, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     model = np.full((len(langs), (1 << bits) + 1), SMOOTHING)
-    model[sums["lang"], sums["bucket"]] += sums["n"]
+    model[sums["lang"].to_numpy(), sums["bucket"].to_numpy()] += sums["n"].to_numpy()
     model[:, :-1] = np.log(model[:, :-1] / model[:, :-1].sum(axis=1, keepdims=True))
     model[:, -1] = np.log([totals[x] / sum(totals.values()) for x in langs])
     return langs, model.astype(np.float32), bits

@@ -6,7 +6,6 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,12 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
             cells = [np.flatnonzero(r) for r in c]
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r[x] for r, x in zip(c, cells, strict=True)], pa.list_(pa.int32()))], names=["label", "term", "n"])
 
-    got: pd.DataFrame = labelled_sample(docs, labels, train).mapInArrow(counted, "label int, term array<int>, n array<int>").toPandas()
+    got = labelled_sample(docs, labels, train).mapInArrow(counted, "label int, term array<int>, n array<int>").toArrow()
     counts = np.zeros((len(got), TERMS), np.int32)
     for row, term, n in zip(counts, got["term"], got["n"], strict=True):
-        row[np.asarray(term, int)] = n
+        row[term.values.to_numpy()] = n.values.to_numpy()
     order = np.lexsort([*counts.T[:8], counts.sum(axis=1)])  # the rows come in no set order
-    return fit_vectors(counts[order], got["label"].to_numpy(float)[order])
+    return fit_vectors(counts[order], got["label"].to_numpy().astype(float)[order])
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -166,10 +166,10 @@ def fit(train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS
             break
         least, taken = n, taken + k
     frequent = words.filter(F.col("n") >= least) if least is not None else words.limit(0)
-    got = frequent.toPandas()
-    keys = got["key"].to_numpy(np.int64).view(np.uint64)
+    got = frequent.toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(bits, keys[order], got["n"].to_numpy(np.int64)[order], tokens, distinct, taken == distinct)
+    model = Model(bits, keys[order], got["n"].to_numpy()[order], tokens, distinct, taken == distinct)
     return model, words.filter(F.col("n") < least) if least is not None else words
 
 

@@ -266,8 +266,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["id", "n"])
 
     # At most as many rows as the vocabulary has ids.
-    counts = made.filter("kind > 0").select("ids").mapInArrow(summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
-    ids = counts["id"].to_numpy(np.int64)
+    counts = made.filter("kind > 0").select("ids").mapInArrow(summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow().sort_by([("n", "descending"), ("id", "ascending")])
+    ids = counts["id"].to_numpy()
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
@@ -288,8 +288,8 @@ def read_token_files(spark: SparkSession, path: str, schema: str, per_document)
     Rows: doc_id, start long (ids of all documents before it), n_tokens, and those columns.
     """
     docs = spark.read.parquet(f"{path}/docs")
-    ranked = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()  # as many rows as the vocabulary has ids at most
-    ids = spark.sparkContext.broadcast(ranked["id"].to_numpy(np.uint32))
+    ranked = spark.read.parquet(f"{path}/ranks").orderBy("rank").toArrow()  # as many rows as the vocabulary has ids at most
+    ids = spark.sparkContext.broadcast(ranked["id"].to_numpy().astype(np.uint32))
     # One row a shard: the ids before each shard.
     shards = docs.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
