@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, exact, language, mixing, quality, scoring, substrings, token_files
+from weftline.llm import chat, decontaminate, exact, language, mixing, near, quality, scoring, substrings, token_files
 from weftline.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_lsh_forest(spark, sf_dir):
+    return near.near_groups(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_lsh_forest": op2_lsh_forest,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_rotation": op4_chat_rotation,
     "op5_quality_votes": op5_quality_votes,
