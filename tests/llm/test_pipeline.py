@@ -1,0 +1,61 @@
+"""The pipeline's rows against the stages by brute force."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+from test_near import brute as near_brute
+from test_small_ops import poisson_inverse
+
+import corpus_pipeline
+from weftline.llm import quality, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_rows_equal_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.lit(True))
+    rows = [r for r in docs.orderBy("doc_id").collect() if model.score([r.text])[0] >= 0.5]
+    keep = {r[0] for r in near_brute([(r.doc_id, r.text) for r in rows], 5) if r[3]}
+    norm = lambda t: " " + " ".join(t.lower().split()) + " "
+    items = [norm(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if r.doc_id in keep and not any(i in norm(r.text) for i in items)]
+    n = Counter(r.source for r in rows)
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    want = Counter()
+    for r in rows:
+        rate = len(rows) / len(n) / n[r.source]
+        m = max(1, math.ceil(rate / 32))
+        copies = sum(poisson_inverse(rate / m, int(hashlib.md5(f"0:{r.doc_id}:{j}".encode()).hexdigest()[:13], 16) / 2**52) for j in range(1, m + 1))
+        if copies:
+            ids = [*t.encode(r.text, add_special_tokens=False).ids, 2]
+            want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] = copies
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    ends = sorted((r.start, r.start + r.n_tokens) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_stages_keep_columns_and_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, docs, "/root/testdata/sf0.01")
+        assert got.columns == docs.columns
+    good = labels.filter("quality = 1").select("doc_id")
+    kept = corpus_pipeline.quality_votes(spark, docs, "/root/testdata/sf0.01")
+    assert docs.join(good, "doc_id").count() - kept.join(good, "doc_id").count() <= 3
+    assert corpus_pipeline.mix_sources(spark, docs, "").columns == docs.columns
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0

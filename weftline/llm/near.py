@@ -14,7 +14,11 @@ from weftline.llm.common import bitmap_of, broadcast_if_small, in_bitmap, mixed,
 #: At a similarity of 0.8 all orders miss a pair with a chance of (1 - 0.8**5)**40 = 1e-7.
 TREES, DEPTH, DEEPER = 40, 5, 2
 #: Orders whose neighbours are linked first, so that most of a large group is one component before the rest is looked at.
-FIRST = 4
+FIRST = 2
+#: Rows of a region that one task compares with as many others at once.
+BLOCK = 2048
+#: Standard errors of the estimated similarity below the one asked for at which a pair isn't confirmed any more.
+ERRORS = 5
 #: Bits of the filter over texts whose sets are needed; a full one lets more sets pass, but no result changes.
 FILTER_BITS = 26
 STEP = 2_000_000
@@ -56,7 +60,7 @@ def _digest(own: np.ndarray) -> int:
 
 
 def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Written rows doc_id, n, text (a digest of the set; null for an empty one), and where a task sees a digest first, its regions and places."""
+    """Written rows doc_id, n, text (a digest of the set; null for an empty one), and where a task sees a digest first, its regions and places, and a byte of each MinHash value."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def found(batches):
@@ -64,19 +68,20 @@ def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
         for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
             sets = [shingles(t, width) for t in texts]
             digests = [_digest(s) if len(s) else None for s in sets]
-            new, first = [], []
+            new = []
             for k, d in enumerate(digests):
                 if d is not None and d not in known:
                     if len(known) > 1_000_000:
                         known.clear()
                     known.add(d)
                     new.append(k)
-            region, place = forest_keys(np.stack([signature(sets[k]) for k in new])) if new else (np.zeros((0, TREES), np.uint64),) * 2
-            first = dict(zip(new, zip(region.view(np.int64), place.view(np.int64), strict=True), strict=True))
-            lists = [pa.array([first[k][x] if k in first else None for k in range(len(texts))], pa.list_(pa.int64())) for x in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "text", "region", "place"])
+            signatures = np.stack([signature(sets[k]) for k in new]) if new else np.zeros((0, len(_MULTIPLIERS)), np.uint64)
+            signs = [x.tobytes() for x in (mixed(signatures) >> np.uint64(56)).astype(np.uint8)]
+            first = dict(zip(new, zip(*(x.view(np.int64) for x in forest_keys(signatures)), signs, strict=True), strict=True))
+            lists = [pa.array([first[k][x] if k in first else None for k in range(len(texts))], t) for x, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "text", "region", "place", "signs"])
 
-    return saved(rows.mapInArrow(found, "doc_id long, n long, text long, region array<long>, place array<long>"), "texts")
+    return saved(rows.mapInArrow(found, "doc_id long, n long, text long, region array<long>, place array<long>, signs binary"), "texts")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -98,6 +103,64 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(paired, "a long, b long, na long, nb long")
 
 
+def _leaders(crowd: DataFrame) -> DataFrame:
+    """Pairs of each text in a region with the text there whose regions are largest in all: the one that edited copies of a text gather around."""
+    sizes = crowd.groupBy("region").agg(F.count("*").alias("size"))
+    weights = saved(crowd.join(sizes, "region").groupBy("text").agg(F.sum("size").alias("weight")), "weights")
+    leaders = crowd.join(weights, "text").groupBy("region").agg(F.max(F.struct("weight", "text", "n")).alias("leader"))
+    leaders = saved(leaders.select("region", F.col("leader.text").alias("l"), F.col("leader.n").alias("ln")), "leaders")
+    both = crowd.join(leaders, "region").filter("text <> l")
+    low = F.col("text") < F.col("l")
+    return both.select(F.least("text", "l").alias("a"), F.greatest("text", "l").alias("b"), F.when(low, F.col("n")).otherwise(F.col("ln")).alias("na"), F.when(low, F.col("ln")).otherwise(F.col("n")).alias("nb"))
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of texts of two components that share a region and whose MinHash values don't rule a link out.
+
+    rows: region, tree, text, n, comp, regions, signs. A region of more than BLOCK rows is dealt in blocks and each pair
+    of blocks compared by itself. A pair comes up in the first order only in which it shares a region.
+    """
+    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tree", "text", "n", "comp", "regions", "signs")
+    dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "text")
+    least = percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / len(_MULTIPLIERS)) ** 0.5
+
+    def compared(group):
+        block, tree, text, n, comp = (group.column(k).to_numpy() for k in (3, 4, 5, 6, 7))
+        low, high, tree = group.column(1)[0].as_py(), group.column(2)[0].as_py(), int(tree[0])
+        regions = np.array(group.column(8).to_pylist(), np.int64).reshape(len(text), TREES)[:, :tree]
+        signs = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column(9)])
+        values, counts = np.unique(comp, return_counts=True)
+        minor = comp != values[counts.argmax()]
+        for k in np.flatnonzero(minor):
+            ok = (comp != comp[k]) & (~minor | (text < text[k])) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            if low != high:
+                ok &= block != block[k]
+            at = np.flatnonzero(ok)
+            at = at[(signs[at] == signs[k]).mean(axis=1) >= least]
+            at = at[~(regions[at] == regions[k]).any(axis=1)]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(text[at], text[k])), pa.array(np.maximum(text[at], text[k])), pa.array(np.where(text[at] < text[k], n[at], n[k])), pa.array(np.where(text[at] < text[k], n[k], n[at]))], names=["a", "b", "na", "nb"])
+
+    def streamed(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = np.stack([t.column(k).to_numpy().astype(np.int64) for k in (0, 1, 2)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield from compared(t.slice(a, b - a).combine_chunks())
+            rest = t.slice(cuts[-1])
+        if rest is not None:
+            yield from compared(rest.combine_chunks())
+
+    return dealt.mapInArrow(streamed, "a long, b long, na long, nb long")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b with 100 * common >= percent * all shingles."""
     able = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
@@ -143,16 +206,17 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     Documents are linked when 100 * common shingles >= percent * all their shingles; a shingle is width words in
     a row (ASCII lower case, split at ASCII white space), or a whole text with fewer words. Documents
     without words are linked with nothing. Equal sets are one text from the start. Candidates are the texts that
-    share a region in one of the sorted orders: first neighbours in FIRST orders; then, in every region that
-    holds texts of two components, all pairs across components, so no region is too large to be looked at whole.
+    share a region in one of the sorted orders: first neighbours in FIRST orders, and each region's most central
+    text with all others there; then, in every region that holds texts of two components, all pairs across
+    components but those whose MinHash values rule a link out. So no region is too large to be looked at whole.
     Every candidate is confirmed on its full sets (of 64-bit hashes). Null ids: such documents are linked and
     grouped, but have no smallest id; component_id is null and kept true where a whole component has none.
     Rows that repeat an id share its fate. Other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     every = texts_by_set(docs, width, id_col, text_col)
-    one = every.filter("region is not null").dropDuplicates(["text"]).select("text", "n", F.posexplode(F.arrays_zip("region", "place")).alias("tree", "k"))
-    forest = saved(one.select("text", "n", "tree", "k.region", "k.place"), "forest")
+    texts = saved(every.filter("region is not null").dropDuplicates(["text"]), "texts")
+    forest = texts.select("text", "n", F.posexplode(F.arrays_zip("region", "place")).alias("tree", "k")).select("text", "n", "tree", "k.region", "k.place")
     shared = forest.groupBy("region").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low < high").select("region")
     crowd = saved(forest.join(shared, "region"), "crowd")
     needed = spark.sparkContext.broadcast(bitmap_of(crowd.select("text").distinct().select(F.col("text")), FILTER_BITS))
@@ -173,19 +237,14 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(digests[new] if new else [], pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], names=["text", "own"])
 
     sets = saved(docs.select(F.col(text_col).alias("text")).mapInArrow(kept, "text long, own binary").dropDuplicates(["text"]), "sets")
-    links = saved(_confirmed(_neighbours(crowd.filter(F.col("tree") < FIRST)), sets, percent), "links")
+    pairs = _neighbours(crowd.filter(F.col("tree") < FIRST)).unionAll(_leaders(crowd))
+    links = saved(_confirmed(pairs, sets, percent), "links")
     first = components(links)
-    known = crowd.join(first, F.col("text") == F.col("node"), "left").select("region", "text", "n", F.coalesce("comp", "text").alias("comp"))
-    open_ = known.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("region")
-    known = saved(known.join(open_, "region"), "open")
-    sides = known.groupBy("region", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = (sides.select("region", F.col("comp").alias(f"comp_{x}"), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ab")
-    # Components whose sizes rule out every link are not paired.
-    cross = left.join(right, "region").filter((F.col("comp_a") < F.col("comp_b")) & (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
-    one, two = (known.select("region", F.col("comp").alias(f"comp_{x}"), F.col("text").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = cross.select("region", "comp_a", "comp_b").join(one, ["region", "comp_a"]).join(two, ["region", "comp_b"])
-    pairs = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
-    more = saved(_confirmed(pairs, sets, percent), "links")
+    known = crowd.join(first, F.col("text") == F.col("node"), "left").select("region", "tree", "text", "n", F.coalesce("comp", "text").alias("comp"))
+    several = known.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("region")
+    signed = texts.select("text", F.col("region").alias("regions"), "signs")
+    known = saved(known.join(several, "region").join(signed, "text"), "several")
+    more = saved(_confirmed(_across(known, percent), sets, percent), "links")
     groups = first if more.isEmpty() else components(links.unionAll(more))
     groups = groups.select(F.col("node").alias("text"), "comp")
     least = every.filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("least")).join(groups, "text", "left")
