@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 
 #: Entries of a per-process cache before it is emptied; the results don't depend on it.
 CACHE_ENTRIES = 1_000_000
+WORD_ENTRIES = 250_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -56,7 +58,7 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= WORD_ENTRIES:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -94,7 +96,7 @@ def pieces_of(batches, columns: list[str], size_of: str, most: int) -> Iterator[
     """Column lists of consecutive rows whose size_of column adds up to about `most` bytes, so that memory per step is bounded."""
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column(batch.schema.get_field_index(size_of)).to_pylist()]) if batch.num_rows else np.zeros(0, int)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_of))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         ends = np.cumsum(sizes)
         while at < batch.num_rows:

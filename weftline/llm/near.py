@@ -21,7 +21,9 @@ BLOCK = 2048
 ERRORS = 5
 #: Bits of the filter over texts whose sets are needed; a full one lets more sets pass, but no result changes.
 FILTER_BITS = 26
-STEP = 2_000_000
+STEP = 1_000_000
+#: Digests a task remembers, so as to pass on each set once; when full it starts anew.
+KNOWN = 200_000
 
 _MULTIPLIERS = mixed(np.arange(1, TREES * (DEPTH + DEEPER) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -71,7 +73,7 @@ def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
             new = []
             for k, d in enumerate(digests):
                 if d is not None and d not in known:
-                    if len(known) > 1_000_000:
+                    if len(known) > KNOWN:
                         known.clear()
                     known.add(d)
                     new.append(k)
@@ -230,7 +232,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
             new = []
             for k in np.flatnonzero(ok):
                 if (d := int(digests[k])) not in known:
-                    if len(known) > 1_000_000:
+                    if len(known) > KNOWN:
                         known.clear()
                     known.add(d)
                     new.append(k)
