@@ -93,3 +93,12 @@ def test_similar_signatures_estimate_similarity():
     both = rng.integers(0, 2**63, 1000).astype(np.uint64)
     a, b = np.unique(both[:900]), np.unique(both[100:])
     assert abs((near.signature(a) == near.signature(b)).mean() - 0.8) < 0.1
+
+
+def test_maps_never_rule_out_what_is_common():
+    rng = np.random.default_rng(2)
+    for size in (1, 50, 3000):
+        pool = rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)
+        a, b = (np.unique(rng.choice(pool, size)) for _ in range(2))
+        maps = [np.frombuffer(near.shingle_map(x), np.uint64) for x in (a, b)]
+        assert near.most_common(len(a), np.array([len(b)]), maps[0], maps[1][None])[0] >= len(np.intersect1d(a, b))

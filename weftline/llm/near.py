@@ -21,6 +21,8 @@ BLOCK = 2048
 ERRORS = 5
 #: Bits of the filter over texts whose sets are needed; a full one lets more sets pass, but no result changes.
 FILTER_BITS = 26
+#: Bits of a text's map of its shingles, 2 to this power.
+MAP_BITS = 12
 STEP = 1_000_000
 #: Digests a task remembers, so as to pass on each set once; when full it starts anew.
 KNOWN = 200_000
@@ -57,12 +59,23 @@ def forest_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return region, place
 
 
+def shingle_map(own: np.ndarray) -> bytes:
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[own >> np.uint64(64 - MAP_BITS)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles that sets of na and nb with maps a (one) and b (rows) can have in common at most: a bit that only one map has stands for a shingle that only that set has."""
+    return np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+
+
 def _digest(own: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(own.tobytes()), "big", signed=True)
 
 
 def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Written rows doc_id, n, text (a digest of the set; null for an empty one), and where a task sees a digest first, its regions and places, and a byte of each MinHash value."""
+    """Written rows doc_id, n, text (a digest of the set; null for an empty one), and where a task sees a digest first, its regions and places, a byte of each MinHash value, and a bit map of the set."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def found(batches):
@@ -79,11 +92,11 @@ def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
                     new.append(k)
             signatures = np.stack([signature(sets[k]) for k in new]) if new else np.zeros((0, len(_MULTIPLIERS)), np.uint64)
             signs = [x.tobytes() for x in (mixed(signatures) >> np.uint64(56)).astype(np.uint8)]
-            first = dict(zip(new, zip(*(x.view(np.int64) for x in forest_keys(signatures)), signs, strict=True), strict=True))
-            lists = [pa.array([first[k][x] if k in first else None for k in range(len(texts))], t) for x, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "text", "region", "place", "signs"])
+            first = dict(zip(new, zip(*(x.view(np.int64) for x in forest_keys(signatures)), signs, [shingle_map(sets[k]) for k in new], strict=True), strict=True))
+            lists = [pa.array([first[k][x] if k in first else None for k in range(len(texts))], t) for x, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "text", "region", "place", "signs", "map"])
 
-    return saved(rows.mapInArrow(found, "doc_id long, n long, text long, region array<long>, place array<long>, signs binary"), "texts")
+    return saved(rows.mapInArrow(found, "doc_id long, n long, text long, region array<long>, place array<long>, signs binary, map binary"), "texts")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -117,15 +130,15 @@ def _leaders(crowd: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of texts of two components that share a region and whose MinHash values don't rule a link out.
+    """Pairs of texts of two components that share a region and whose MinHash values and maps don't rule a link out.
 
-    rows: region, tree, text, n, comp, regions, signs. A region of more than BLOCK rows is dealt in blocks and each pair
+    rows: region, tree, text, n, comp, regions, signs, map. A region of more than BLOCK rows is dealt in blocks and each pair
     of blocks compared by itself. A pair comes up in the first order only in which it shares a region.
     """
     sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tree", "text", "n", "comp", "regions", "signs")
+    dealt = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tree", "text", "n", "comp", "regions", "signs", "map")
     dealt = dealt.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high", "text")
     least = percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / len(_MULTIPLIERS)) ** 0.5
 
@@ -134,6 +147,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         low, high, tree = group.column(1)[0].as_py(), group.column(2)[0].as_py(), int(tree[0])
         regions = np.array(group.column(8).to_pylist(), np.int64).reshape(len(text), TREES)[:, :tree]
         signs = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column(9)])
+        maps = np.array([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(10)])
         values, counts = np.unique(comp, return_counts=True)
         minor = comp != values[counts.argmax()]
         for k in np.flatnonzero(minor):
@@ -143,6 +157,8 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             at = np.flatnonzero(ok)
             at = at[(signs[at] == signs[k]).mean(axis=1) >= least]
             at = at[~(regions[at] == regions[k]).any(axis=1)]
+            common = most_common(n[k], n[at], maps[k], maps[at])
+            at = at[100 * common >= percent * (n[k] + n[at] - common)]
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(text[at], text[k])), pa.array(np.maximum(text[at], text[k])), pa.array(np.where(text[at] < text[k], n[at], n[k])), pa.array(np.where(text[at] < text[k], n[k], n[at]))], names=["a", "b", "na", "nb"])
 
@@ -210,7 +226,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     without words are linked with nothing. Equal sets are one text from the start. Candidates are the texts that
     share a region in one of the sorted orders: first neighbours in FIRST orders, and each region's most central
     text with all others there; then, in every region that holds texts of two components, all pairs across
-    components but those whose MinHash values rule a link out. So no region is too large to be looked at whole.
+    components but those whose MinHash values or maps of shingles rule a link out. So no region is too large to be looked at whole.
     Every candidate is confirmed on its full sets (of 64-bit hashes). Null ids: such documents are linked and
     grouped, but have no smallest id; component_id is null and kept true where a whole component has none.
     Rows that repeat an id share its fate. Other columns are left out; an empty table gives no rows.
@@ -244,7 +260,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     first = components(links)
     known = crowd.join(first, F.col("text") == F.col("node"), "left").select("region", "tree", "text", "n", F.coalesce("comp", "text").alias("comp"))
     several = known.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("region")
-    signed = texts.select("text", F.col("region").alias("regions"), "signs")
+    signed = texts.select("text", F.col("region").alias("regions"), "signs", "map")
     known = saved(known.join(several, "region").join(signed, "text"), "several")
     more = saved(_confirmed(_across(known, percent), sets, percent), "links")
     groups = first if more.isEmpty() else components(links.unionAll(more))
