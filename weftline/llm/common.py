@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Entries of a per-process cache before it is emptied; the results don't depend on it.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 WORD_ENTRIES = 250_000
 
 
@@ -93,7 +93,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def pieces_of(batches, columns: list[str], size_of: str, most: int) -> Iterator[list[list]]:
-    """Column lists of consecutive rows whose size_of column adds up to about `most` bytes, so that memory per step is bounded."""
+    """Column lists of consecutive rows whose size_of column adds up to about `most` bytes, so that memory per step is bounded. At the end a worker, which Spark uses again, gives back what its caches hold."""
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_of))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,6 +104,8 @@ def pieces_of(batches, columns: list[str], size_of: str, most: int) -> Iterator[
             end = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield [c.slice(at, end - at).to_pylist() for c in cols]
             at = end
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:

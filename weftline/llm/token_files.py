@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import CACHE_ENTRIES, pieces_of, saved, shared_folder
 
 #: Characters that are cut into pieces at once.
-STEP = 2_000_000
+STEP = 1_000_000
 
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
