@@ -39,11 +39,12 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.select("row", "pos", "n", "block", F.xxhash64("block").alias("h"), F.monotonically_increasing_id().alias("place"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha")),
         "blocks",
     )
-    again = blocks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("again"))
+    # Sums are written before they are joined, so that a join deals out both its sides and Spark can split a frequent block or pair.
+    again = saved(blocks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("again")), "again")
     marked = blocks.select("row", "pos", "n", "place", "h", "block").join(again, "h", "left")
     marked = saved(marked.select("row", "pos", "n", "place", "h", F.when(F.col("again"), F.col("block")).alias("block")), "marked")
     alike = marked.filter("block is not null")
-    names = alike.groupBy("h", "block").agg(F.min("place").alias("name"))
+    names = saved(alike.groupBy("h", "block").agg(F.min("place").alias("name")), "named")
     alone = marked.filter("block is null").select("row", "pos", "n", "place", F.col("place").alias("name"))
     level = saved(alike.join(names, ["h", "block"]).select("row", "pos", "n", "place", "name").unionAll(alone), "names")
     most, done, k = blocks.agg(F.max("n")).first()[0] or 0, [], 0
@@ -59,7 +60,7 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.floor((F.max("n") + 1) / 2).cast("int").alias("n"),
         )
         pairs = saved(pairs, "pairs")
-        names = pairs.groupBy("a", "b").agg(F.min("place").alias("name"))
+        names = saved(pairs.groupBy("a", "b").agg(F.min("place").alias("name")), "named")
         level = saved(pairs.join(names, ["a", "b"]).select("row", "pos", "n", "place", "name"), "names")
         most, k = (most + 1) // 2, k + 1
     heads = blocks.filter("pos = 0").select("row", "doc_id", F.col("sha").alias("text_sha256"))
