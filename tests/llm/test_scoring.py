@@ -82,3 +82,26 @@ def test_model_beats_the_base_on_held_out_text(spark):
     got = scoring.scores(df, BITS).filter("held_out").toPandas()
     assert len(got) > 100 and got.score.sum() > got.base_score.sum()
     assert (got.score < 0).all()
+
+
+@pytest.mark.parametrize("packet", [10**9, 200])
+def test_a_filter_too_large_to_broadcast_is_joined(spark, docs, monkeypatch, packet):
+    monkeypatch.setattr(scoring, "FILTER_BITS", 16)
+    monkeypatch.setattr(scoring, "ERROR", 1e-9, raising=False)
+    monkeypatch.setattr(scoring, "PACKET", packet, raising=False)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    got = sorted(map(tuple, scoring.scores(frame(spark, docs), 16).collect()), key=key)
+    for g, w in zip(got, sorted(brute(docs), key=key), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:], abs=1e-6)
+
+
+def test_wrong_answers_do_not_rise_with_the_entries(spark, monkeypatch):
+    unseen = scoring.word_keys(scoring.word_hashes(" ".join(f"u{k}" for k in range(20000)).encode()))
+    for n in (2_000, 40_000):  # 2**15 bits would be full at the second
+        df = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, n, 10))) for k in range(10)], "doc_id long, text string")
+        model, _ = scoring.fit(df, filter_bits=15)
+        assert (model.count(unseen) > 0).mean() < 1.5 * scoring.ERROR
+    bits = scoring.segment_bits(10**6, 17, scoring.ERROR)
+    places = [scoring._places(scoring.mixed(np.arange(1 << 16, dtype=np.uint64)), 1, b) for b in (bits, np.full(1 << 16, 23))]
+    assert bits == 24 and all(x.max() > 0.9 * 2**b for p, b in zip(places, (24, 23), strict=True) for x in p)

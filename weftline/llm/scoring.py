@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import id_remainder, mixed, pieces_of, saved, word_hashes
 
-#: The filter has 2**FILTER_BITS bits (64 MB) in 2**SEGMENT_BITS segments: the bound of what is broadcast. With more
-#: n-grams its share of wrong answers rises, about (1 - exp(-PROBES * entries / bits)) ** PROBES, and nothing else.
-FILTER_BITS, SEGMENT_BITS, PROBES = 29, 12, 3
+#: The filter has 2**FILTER_BITS bits (64 MB) at least in 2**SEGMENT_BITS segments, and is broadcast if it has no more.
+#: A segment with more entries is made larger, so that a probe's share of wrong answers stays at ERROR at most.
+FILTER_BITS, SEGMENT_BITS, PROBES, ERROR = 29, 12, 3, 0.02
 #: Weight, in counts, of the one-word distribution in the two-word one.
 MU = 8.0
 #: Words whose exact counts are broadcast, the most frequent ones; all others' counts are joined.
@@ -23,6 +24,8 @@ FREQUENT = 1_000_000
 #: Tokens whose n-grams a task merges before it passes them on.
 MERGE = 4_000_000
 STEP = 2_000_000
+#: Bytes of text whose keys are looked up together where the filter is too large to be broadcast.
+PACKET = 16_000_000
 
 _START, _END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"  ", b" "))  # no words
 
@@ -51,40 +54,96 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype(np.int64) + 1
 
 
-def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
+def segment_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)
+
+
+def segment_bits(entries: int, least: int, error: float) -> int:
+    """A segment of 2 to this power bits answers wrongly with a chance of error at most: (1 - exp(-PROBES * entries / bits)) ** PROBES."""
+    need = PROBES * entries / -np.log1p(-(error ** (1 / PROBES)))
+    return max(least, 3, int(np.ceil(np.log2(max(need, 1)))))
+
+
+def _places(keys: np.ndarray, level: int, bits: int | np.ndarray) -> list[np.ndarray]:
     """Bits, within the key's segment of 2**bits, of the entry (key, level)."""
+    mask = (np.uint64(1) << np.asarray(bits).astype(np.uint64)) - np.uint64(1)
     with np.errstate(over="ignore"):
         x = mixed(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-    return [(x >> np.uint64(21 * k)) & np.uint64((1 << bits) - 1) for k in range(PROBES)]
+        if np.max(bits, initial=0) <= 21:
+            return [(x >> np.uint64(21 * k)) & mask for k in range(PROBES)]
+        return [np.where(np.asarray(bits) > 21, mixed(x + np.uint64(k + 1)), x >> np.uint64(21 * k)) & mask for k in range(PROBES)]
+
+
+@dataclass
+class Filter:
+    packed: np.ndarray  # bytes
+    bits: int | np.ndarray  # of each segment, 2 to this power; one number where all are alike
+    starts: np.ndarray  # first bit of each segment
+
+    @staticmethod
+    def of(segments: dict[int, bytes], least: int) -> Filter:
+        bits = np.full(1 << SEGMENT_BITS, max(least, 3), np.int64)
+        for k, x in segments.items():
+            bits[k] = (len(x) * 8).bit_length() - 1
+        ends = np.cumsum(1 << bits)
+        packed = np.zeros(ends[-1] >> 3, np.uint8)
+        for k, x in segments.items():
+            packed[ends[k] - len(x) * 8 >> 3 : ends[k] >> 3] = np.frombuffer(x, np.uint8)
+        return Filter(packed, int(bits[0]) if (bits == bits[0]).all() else bits, (ends - (1 << bits)).astype(np.uint64))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level found of each key, probed level by level; 0 for none."""
+        segment = segment_of(keys)
+        base, bits = self.starts[segment], self.bits if np.ndim(self.bits) == 0 else self.bits[segment]
+        return levels_in(self.packed, keys, base, bits)
+
+
+@dataclass
+class Levels:
+    """Levels that were looked up for some keys, as Filter.levels gives them; all others have none."""
+
+    keys: np.ndarray  # ascending
+    found: np.ndarray
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.found[at], 0)
+
+
+def levels_in(packed: np.ndarray, keys: np.ndarray, base: np.ndarray | np.uint64, bits: int | np.ndarray) -> np.ndarray:
+    """The loop ends: a segment's bits are more than PROBES times its entries, so none is full."""
+    found, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while len(alive):
+        hit = np.ones(len(alive), bool)
+        start = base[alive] if np.ndim(base) else base
+        for p in _places(keys[alive], level, bits[alive] if np.ndim(bits) else bits):
+            at = start + p
+            hit &= (packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        alive = alive[hit]
+        found[alive] = level
+        level += 1
+    return found
 
 
 @dataclass
 class Model:
-    filter: np.ndarray  # bytes
+    filter: Filter | Levels | None  # None: too large to be broadcast
     words: np.ndarray  # keys of the frequent words, ascending
     counts: np.ndarray
     tokens: int
     distinct: int
     complete: bool  # words has all of them
+    segments: DataFrame | None = None  # segment, bits: the filter that is too large
 
     @property
     def total(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts as the filter has them: probed level by level, the mean of the last level found."""
-        bits = int(len(self.filter) * 8).bit_length() - 1 - SEGMENT_BITS
-        found, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(alive):
-            k = keys[alive]
-            base = (k >> np.uint64(64 - SEGMENT_BITS)) << np.uint64(bits)
-            hit = np.ones(len(k), bool)
-            for p in _places(k, level, bits):
-                at = base + p
-                hit &= (self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            alive = alive[hit]
-            found[alive] = level
-            level += 1
+        """Counts as the filter has them: the mean of the last level found."""
+        found = self.filter.levels(keys)
         return np.where(found > 0, 1.5 * 2.0 ** (found - 1) - 0.5, 0.0)
 
     def log_probabilities(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -124,38 +183,48 @@ def count_tables(train: DataFrame, text_col: str, filter_bits: int) -> DataFrame
         if kept:
             yield from merged()
 
-    bits = filter_bits - SEGMENT_BITS
+    least, error = filter_bits - SEGMENT_BITS, ERROR
+
+    def segment_row(segment, kept):
+        keys, level = (np.concatenate(x) for x in zip(*kept, strict=True))
+        bits = segment_bits(int(level.sum(dtype=np.int64)), least, error)
+        out = np.zeros(1 << bits, bool)
+        for j in range(1, int(level.max()) + 1):
+            for p in _places(keys[level >= j], j, bits):
+                out[p] = True
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.packbits(out, bitorder="little").tobytes()])], names=["segment", "key", "n", "bits"])
 
     def built(batches):
-        segments: dict[int, np.ndarray] = {}
+        at, kept = None, []
         start = word_keys(np.array([_START]))[0]
         for batch in batches:
             segment, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             keys = batch.column(1).to_numpy().view(np.uint64)
-            level, order = level_of(n), np.argsort(segment, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1) if len(order) else []:
-                out = segments.setdefault(int(segment[own[0]]), np.zeros(1 << bits, bool))
-                for j in range(1, int(level[own].max()) + 1):
-                    for p in _places(keys[own][level[own] >= j], j, bits):
-                        out[p] = True
+            level = level_of(n).astype(np.int8)
+            for own in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(segment)) + 1) if len(keys) else []:
+                if kept and segment[own[0]] != at:
+                    yield segment_row(at, kept)
+                    kept = []
+                at = int(segment[own[0]])
+                kept.append((keys[own], level[own]))
             word = (keys & np.uint64(1) == 0) & (keys != start)
             yield pa.RecordBatch.from_arrays([pa.nulls(int(word.sum()), pa.int32()), pa.array(keys[word].view(np.int64)), pa.array(n[word]), pa.nulls(int(word.sum()), pa.binary())], names=["segment", "key", "n", "bits"])
-        for k, x in segments.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes()])], names=["segment", "key", "n", "bits"])
+        if kept:
+            yield segment_row(at, kept)
 
     rows = train.select(F.col(text_col).alias("text")).mapInArrow(counted, "segment int, key long, n long")
     # Dealt by segment, so that one task has all of a segment; the sums by key then need no other exchange.
-    sums = rows.repartition("segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
+    sums = rows.repartition("segment").groupBy("segment", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("segment")
     return saved(sums.mapInArrow(built, "segment int, key long, n long, bits binary"), "ngrams")
 
 
 def fit(train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
     """The model, and the exact counts (key, n) of the words that aren't among its frequent ones."""
     table = count_tables(train, text_col, filter_bits)
-    size = 1 << (filter_bits - SEGMENT_BITS - 3)
-    bits = np.zeros(1 << (filter_bits - 3), np.uint8)
-    for r in table.filter("bits is not null").select("segment", "bits").toLocalIterator():
-        bits[r.segment * size : (r.segment + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    segments, least = table.filter("bits is not null").select("segment", "bits"), filter_bits - SEGMENT_BITS
+    got = segments.agg(F.count("*").alias("n"), F.sum(F.length("bits")).alias("bytes")).first()
+    whole = 8 * (got.bytes or 0) + (((1 << SEGMENT_BITS) - got.n) << max(least, 3))
+    held = Filter.of({r.segment: bytes(r.bits) for r in segments.toLocalIterator()}, least) if whole <= 1 << FILTER_BITS else None
     words = table.filter("key is not null").select("key", "n")
     # How many words have each count: as the counts add up to the tokens, few different ones.
     spread = sorted((r.n, r.words) for r in words.groupBy("n").agg(F.count("*").alias("words")).collect())
@@ -169,10 +238,94 @@ def fit(train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS
     got = frequent.toArrow()
     keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(bits, keys[order], got["n"].to_numpy()[order], tokens, distinct, taken == distinct)
+    model = Model(held, keys[order], got["n"].to_numpy()[order], tokens, distinct, taken == distinct, None if held else segments)
     return model, words.filter(F.col("n") < least) if least is not None else words
 
 
+def _groups(batches):
+    """Tables of the consecutive rows with one value in the first column."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if rest and rest[-1].column(0)[0].as_py() != first[a]:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(a, b - a))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _with_levels(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Where the filter is too large to be broadcast: rows in packets, each with the levels of all its keys.
+
+    Sorted rows packet, rid, doc_id, held_out, text (documents) and packet, key, level (keys that are in the filter). The
+    keys of a packet go to their segments, one after the other in a task, and come back with what was found there.
+    """
+    step, most = min(STEP, PACKET), PACKET
+
+    def packed(batches):
+        base, row, packet, used = TaskContext.get().partitionId() << 33, 0, 0, 0
+        for ids, held, texts in pieces_of(batches, ["doc_id", "held_out", "text"], "text", step):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), base + packet)), pa.array(base + row + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.string())], names=["packet", "rid", "doc_id", "held_out", "text"])
+            row, used = row + len(ids), used + sum(len(t or "") for t in texts) + len(ids)
+            if used >= most:
+                packet, used = packet + 1, 0
+
+    packets = saved(rows.mapInArrow(packed, "packet long, rid long, doc_id long, held_out boolean, text string"), "packets")
+
+    def asked(batches):
+        kept: list[np.ndarray] = []
+
+        def merged(packet):
+            keys = np.unique(np.concatenate(kept))
+            kept.clear()
+            for a in range(0, len(keys), 1 << 18):
+                k = keys[a : a + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(segment_of(k)), pa.nulls(len(k), pa.binary()), pa.array(np.full(len(k), packet)), pa.array(k.view(np.int64))], names=["segment", "bits", "packet", "key"])
+
+        last = None
+        for packet, texts in pieces_of(batches, ["packet", "text"], "text", STEP):
+            for p in sorted(set(packet)):  # a piece can span two packets
+                if kept and p != last:
+                    yield from merged(last)
+                last = p
+                tokens, before, _ = token_rows([t for t, q in zip(texts, packet, strict=True) if q == p])
+                kept += [np.unique(word_keys(tokens)), np.unique(pair_keys(before, tokens)), word_keys(np.array([_START]))]
+        if kept:
+            yield from merged(last)
+
+    lookups = packets.select("packet", "text").mapInArrow(asked, "segment int, bits binary, packet long, key long")
+    both = segments.select("segment", "bits", F.lit(None).cast("long").alias("packet"), F.lit(None).cast("long").alias("key")).unionAll(lookups)
+
+    def answered(batches):
+        segment, packed, bits = None, None, 0
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and own[a] != segment:
+                    segment, packed = own[a], None
+                if a < b and batch.column(1)[a].is_valid:  # a segment's bits come before the keys
+                    packed = np.frombuffer(batch.column(1)[a].as_buffer(), np.uint8).copy()
+                    bits, a = (len(packed) * 8).bit_length() - 1, a + 1
+                if packed is None or a == b:
+                    continue
+                keys = batch.column(3).slice(a, b - a).to_numpy().view(np.uint64)
+                found = levels_in(packed, keys, np.uint64(0), bits)
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a).take(pa.array(at)), pa.array(keys[at].view(np.int64)), pa.array(found[at].astype(np.int32))], names=["packet", "key", "level"])
+
+    found = both.repartition("segment").sortWithinPartitions("segment", F.col("packet").asc_nulls_first()).mapInArrow(answered, "packet long, key long, level int")
+    none = {k: F.lit(None).cast(t).alias(k) for k, t in (("rid", "long"), ("doc_id", "long"), ("held_out", "boolean"), ("text", "string"), ("key", "long"), ("level", "int"))}
+    own = packets.select("packet", "rid", "doc_id", "held_out", "text", none["key"], none["level"])
+    back = found.select("packet", none["rid"], none["doc_id"], none["held_out"], none["text"], "key", "level")
+    return own.unionAll(back).repartition("packet").sortWithinPartitions("packet", F.col("rid").asc_nulls_first())
+
+
 def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row a document, repeated rows too.
 
@@ -182,32 +335,47 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_i
     learned, every token has base log10 1 and score log10 1. Other columns are left out.
     """
     model, others = fitted
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "known", "score", "key", "times"]
+    kinds = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, score double, key long, times long"
+
+    def scored_rows(m, rid, ids, held, texts):
+        tokens, before, n = token_rows(texts)
+        begins = np.cumsum(n) - n
+        total = np.add.reduceat(m.log_probabilities(tokens, before), begins)
+        words, at = np.unique(word_keys(tokens), return_inverse=True)
+        place = np.minimum(np.searchsorted(m.words, words), max(0, len(m.words) - 1))
+        common = m.words[place] == words if len(m.words) else np.zeros(len(words), bool)
+        value = np.where(common, np.log10((m.counts[place] if len(m.words) else 0) + 0.5), 0.0)
+        known, sums = (np.add.reduceat(x[at], begins) for x in (common.astype(np.int64), value))
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(sums), pa.array(total), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+        if not m.complete:
+            rare = np.flatnonzero(~common[at])
+            text = np.repeat(np.arange(len(n)), n)[rare]
+            both, times = np.unique(text * len(words) + at[rare], return_counts=True)
+            k = len(both)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[both // len(words)]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(words[both % len(words)].view(np.int64)), pa.array(times)], names=names)
 
     def scored(batches):
-        m, base, row = shared.value, TaskContext.get().partitionId() << 33, 0
+        base, row = TaskContext.get().partitionId() << 33, 0
         for ids, held, texts in pieces_of(batches, ["doc_id", "held_out", "text"], "text", STEP):
-            tokens, before, n = token_rows(texts)
-            begins = np.cumsum(n) - n
-            total = np.add.reduceat(m.log_probabilities(tokens, before), begins)
-            words, at = np.unique(word_keys(tokens), return_inverse=True)
-            place = np.minimum(np.searchsorted(m.words, words), max(0, len(m.words) - 1))
-            common = m.words[place] == words if len(m.words) else np.zeros(len(words), bool)
-            value = np.where(common, np.log10((m.counts[place] if len(m.words) else 0) + 0.5), 0.0)
-            known, sums = (np.add.reduceat(x[at], begins) for x in (common.astype(np.int64), value))
-            rid = base + row + np.arange(len(texts))
+            yield from scored_rows(shared.value, base + row + np.arange(len(texts)), ids, held, texts)
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(sums), pa.array(total), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
-            if not m.complete:
-                rare = np.flatnonzero(~common[at])
-                text = np.repeat(np.arange(len(n)), n)[rare]
-                both, times = np.unique(text * len(words) + at[rare], return_counts=True)
-                k = len(both)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[both // len(words)]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(words[both % len(words)].view(np.int64)), pa.array(times)], names=names)
-
-    done = saved(rows.mapInArrow(scored, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, score double, key long, times long"), "scores")
+
+    def scored_packets(batches):
+        for group in _groups(batches):
+            looked = group.filter(pc.is_null(group["rid"]))
+            keys, order = np.unique(looked["key"].to_numpy().view(np.uint64), return_index=True)
+            m = replace(shared.value, filter=Levels(keys, looked["level"].to_numpy()[order].astype(np.int64)))
+            own = group.filter(pc.is_valid(group["rid"])).combine_chunks()
+            rid, at = own["rid"].to_numpy(), 0
+            for ids, held, texts in pieces_of(own.to_batches(), ["doc_id", "held_out", "text"], "text", STEP):
+                yield from scored_rows(m, rid[at : at + len(texts)], ids, held, texts)
+                at += len(texts)
+
+    made = rows.mapInArrow(scored, kinds) if model.filter else _with_levels(rows, model.segments).mapInArrow(scored_packets, kinds)
+    done = saved(made, "scores")
     rest = done.filter("key is not null").select("rid", "key", "times").join(others, "key")
     rest = rest.groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("sum"))
     both = done.filter("key is null").drop("key", "times").join(rest, "rid", "left")
