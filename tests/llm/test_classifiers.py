@@ -155,6 +155,19 @@ def test_planted_copies(spark):
     assert dec.matches(df.limit(0), bench).count() == 0 and dec.matches(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_copies_that_share_only_common_seeds(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(dec, "BROADCAST_SEEDS", broadcast, raising=False)
+    item = [f"w{k}" for k in range(16)]
+    edited = [w if k not in (5, 8, 11, 14) else f"x{k}" for k, w in enumerate(item)]
+    docs = [(0, " ".join(item)), *((k, f"a{k} b{k} " + " ".join(edited)) for k in range(1, 60)), (99, "w0 w1 w2 and no more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in dec.matches(df, bench).collect()}
+    assert got == {0: 1.0, **{k: 0.625 for k in range(1, 60)}}
+    assert {r.doc_id for r in dec.clean(df, bench).collect()} == {99}
+
+
 def test_decontamination_finds_all_whole_copies(spark):
     norm = lambda t: " " + " ".join(t.lower().split()) + " "
     docs = [(r.doc_id, norm(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

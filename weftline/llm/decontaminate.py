@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -8,19 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bitmap_of, broadcast_if_small, in_bitmap, ngram_hashes, pieces_of, saved, word_hashes
 
-#: Words of a seed, and the share of an item's seeds, the rarest in the corpus, that are looked up.
-SEED, RAREST = 3, 0.75
+#: Words of a seed. All seeds of an item are looked up.
+SEED = 3
 #: Alignment score of two equal words, two different ones, and a word left out; a pair counts from this share of the score of a whole copy on.
 MATCH, MISMATCH, GAP, LEAST = 2, -1, -1, 0.5
 #: Bits of the filter over seeds that is broadcast, whatever the size of the benchmark.
 FILTER_BITS = 25
 #: Items up to which their words are broadcast, if none has more than so many words.
 BROADCAST_ITEMS, BROADCAST_WORDS = 20_000, 500
+#: Seeds up to which they are broadcast, and in how many parts each is dealt where they are more.
+BROADCAST_SEEDS, SALT = 200_000, 16
 STEP = 2_000_000
 
 _SIGNS = string.punctuation.encode()
@@ -46,23 +48,15 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return saved(rows.mapInArrow(hashed, "item_id long, n int, words binary, seeds array<long>").withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def rare_seeds(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """item, h: of each item the RAREST part of its seeds, by the number of documents that hold them (counted over all); ties are all taken."""
-    spark = docs.sparkSession
-    seeds = items.select("item", F.explode("seeds").alias("h"))
-    bits = spark.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
-
-    def counted(batches):
-        for (texts,) in pieces_of(batches, ["text"], "text", STEP):
-            grams = [ngram_hashes(words_of(t), SEED) for t in texts]
-            held = [np.unique(g[in_bitmap(g, bits.value, FILTER_BITS)]) for g in grams]
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
-    # Seeds that no document holds can't be found: the share is taken of the others.
-    ranked = seeds.join(counts, "h").withColumn("rank", F.rank().over(Window.partitionBy("item").orderBy("df"))).withColumn("of", F.count("*").over(Window.partitionBy("item")))
-    return saved(ranked.filter(F.col("rank") <= F.ceil(F.col("of") * RAREST)).select("item", "h"), "seeds")
+def with_items(tiles: DataFrame, seeds: DataFrame) -> DataFrame:
+    """rid, tile, item: each stretch with all items that share a seed. Where seeds are too many to be broadcast, each is dealt SALT times, so that a frequent one is many tasks' work."""
+    held = tiles.select("rid", "tile", F.explode("seeds").alias("h"))
+    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        both = held.join(F.broadcast(seeds), "h")
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        both = held.withColumn("salt", F.pmod(F.xxhash64("rid", "tile"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"])
+    return both.select("rid", "tile", "item").distinct()
 
 
 def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,9 +123,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     items = item_words(benchmark)
     width = int(1.5 * (items.agg(F.max("n")).first()[0] or 0)) + 1
-    seeds = rare_seeds(docs, items, text_col)
+    seeds = saved(items.select("item", F.explode("seeds").alias("h")), "seeds")
     tiles = tiles_with_seeds(docs, seeds, width, id_col, text_col)
-    pairs = tiles.select("rid", "tile", F.explode("seeds").alias("h")).join(broadcast_if_small(seeds, 200_000), "h").select("rid", "tile", "item").distinct()
+    pairs = with_items(tiles, seeds)
     known = items.select("item", "item_id", F.col("words").alias("item_words"))
     if width <= 1.5 * BROADCAST_WORDS:
         known = broadcast_if_small(known, BROADCAST_ITEMS)
@@ -140,7 +134,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     def aligned(batches):
         for batch in batches:
             doc, item, tile, words, own = (c.to_pylist() for c in batch.columns)
-            for at in _alike([len(x) * len(y) for x, y in zip(words, own, strict=True)]):
+            for at in _alike([len(x) * len(y) if _can_match(x, y) else 0 for x, y in zip(words, own, strict=True)]):
                 a = [np.frombuffer(own[k], "<u4") for k in at]
                 score, start, stop = align(a, [np.frombuffer(words[k], "<u4") for k in at])
                 share = score / (MATCH * np.array([len(x) for x in a]))
@@ -153,6 +147,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.before")).alias("start"), "m.stop")
 
 
+def _can_match(words: bytes, own: bytes) -> bool:
+    """Whether the stretch has enough of the item's words for the least score: equal words alone add to a score, MATCH for each of the item's."""
+    own_ = np.frombuffer(own, "<u4")
+    return MATCH * int(np.isin(own_, np.frombuffer(words, "<u4")).sum()) >= LEAST * MATCH * len(own_)
+
+
 def _alike(sizes: list[int], cells: int = 4_000_000) -> Iterator[list[int]]:
     """Pairs in groups of similar size that take about `cells` cells in all."""
     group, used = [], 0
