@@ -51,6 +51,19 @@ def test_quality_of_odd_rows(spark):
     assert {r.score for r in quality.scores(odd(spark), labels.limit(0)).collect()} == {1.0}
 
 
+def test_a_bounded_sample_keeps_the_balance_of_labels(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["ab!!", "cd", "ef", "gh|", "IJ"]) for _ in range(20)), int(k % 20 >= 3)) for k in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+    every, some = (quality.fit(docs, labels, F.lit(True), n) for n in (1000, 60))
+    assert len(every.labels) == 600 and len(some.labels) == 120
+    texts = [" ".join(rng.choice(["ab!!", "cd", "ef", "gh|", "IJ"]) for _ in range(20)) for _ in range(200)]
+    for model in (every, some):
+        assert model.prior == pytest.approx(0.85) and model.score([None])[0] == pytest.approx(0.85)
+        assert model.score(texts).mean() == pytest.approx(0.85, abs=0.06)
+
+
 # --- language ------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import id_remainder, mixed, pieces_of, with_columns, word_hashes
+from weftline.llm.common import id_remainder, mixed, pieces_of, saved, with_columns, word_hashes
 
 #: Labelled documents that are used of each label at most, those whose hashed ids are smallest: the bound of the
 #: sample, and with DIMS of what is broadcast (2 * SAMPLE * (DIMS + 1) + TERMS * DIMS numbers).
@@ -67,70 +67,80 @@ class Model:
     vectors: np.ndarray  # labelled documents, unit length
     labels: np.ndarray
     prior: float
+    weights: np.ndarray  # what a vote counts: labelled documents of its label for each in the sample
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
         v = (_frequencies(counts) * self.idf) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Share of label 1 among the nearest labelled documents, weighted by similarity; the prior where none is similar."""
+        """Share of label 1 among the nearest labelled documents, weighted by similarity and by the label's rows for each sampled one; the prior where none is similar."""
         if not len(self.labels):
             return np.full(len(texts), self.prior)
         near = self.embed(term_counts(texts)) @ self.vectors.T  # exact cosines with all labelled documents
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
         # The eighth power lets the closest of the neighbours decide.
-        weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64) ** 8
+        weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64) ** 8 * self.weights[at]
         total = weight.sum(axis=1)
         voted = (weight * self.labels[at]).sum(axis=1) / np.where(total > 0, total, 1)
         return np.where(total > 0, np.clip(voted, 0, 1), self.prior)
 
 
-def fit_vectors(counts: np.ndarray, labels: np.ndarray) -> Model:
-    """Latent-semantic axes by a randomised SVD of the weighted term frequencies; the seed is fixed."""
+def fit_vectors(counts: np.ndarray, labels: np.ndarray, rows: dict[int, int] | None = None) -> Model:
+    """Latent-semantic axes by a randomised SVD of the weighted term frequencies; the seed is fixed.
+
+    rows: how many labelled documents of each label there are, where labels is a sample of them.
+    """
     if not len(labels):
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0, labels)
     idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = _frequencies(counts) * idf
     q = np.random.default_rng(0).standard_normal((TERMS, DIMS + 16)).astype(np.float32)
     for _ in range(5):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     axes = q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :DIMS]
-    model = Model(idf, axes.astype(np.float32), np.zeros((0, 1)), labels.astype(np.float64), float(labels.mean()))
+    weights = np.ones(len(labels))
+    for label, n in (rows or {}).items():
+        weights[labels == label] = n / max(1, (labels == label).sum())
+    prior = float((weights * labels).sum() / weights.sum())
+    model = Model(idf, axes.astype(np.float32), np.zeros((0, 1)), labels.astype(np.float64), prior, weights)
     model.vectors = model.embed(counts)
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> DataFrame:
-    """Rows text, label: at most per_label of each label. An id labelled both ways is left out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """Rows text, label: at most per_label of each label; and how many ids have each label. An id labelled both ways is left out."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
     one = one.filter(F.col("label") == F.col("most")).filter(train)
-    ids = docs.select("doc_id").distinct().join(one, "doc_id").select("doc_id", "label")
+    ids = saved(docs.select("doc_id").distinct().join(one, "doc_id").select("doc_id", "label"), "labelled")
+    rows = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}  # two at most
     chosen = [ids.filter(F.col("label") == v).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(per_label) for v in (0, 1)]
     wanted = chosen[0].unionAll(chosen[1])
     found = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "label")  # wanted: 2 * per_label rows at most
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).drop("doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).drop("doc_id"), rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> Model:
     def counted(batches):
         for texts, label in pieces_of(batches, ["text", "label"], "text", STEP):
             c = term_counts(texts)
             cells = [np.flatnonzero(r) for r in c]
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r[x] for r, x in zip(c, cells, strict=True)], pa.list_(pa.int32()))], names=["label", "term", "n"])
 
-    got = labelled_sample(docs, labels, train).mapInArrow(counted, "label int, term array<int>, n array<int>").toArrow()
+    sample, rows = labelled_sample(docs, labels, train, per_label)
+    got = sample.mapInArrow(counted, "label int, term array<int>, n array<int>").toArrow()
     counts = np.zeros((len(got), TERMS), np.int32)
     for row, term, n in zip(counts, got["term"], got["n"], strict=True):
         row[term.values.to_numpy()] = n.values.to_numpy()
     order = np.lexsort([*counts.T[:8], counts.sum(axis=1)])  # the rows come in no set order
-    return fit_vectors(counts[order], got["label"].to_numpy().astype(float)[order])
+    return fit_vectors(counts[order], got["label"].to_numpy().astype(float)[order], rows)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs' columns with score double (0 to 1, higher: label 1 likelier) and predicted int (1 from 0.5 on).
 
-    Null and empty texts, which resemble nothing, get the share of label 1 in the sample, as all texts do
+    Null and empty texts, which resemble nothing, get the share of label 1 in all labelled rows, as all texts do
     where nothing is labelled (then 1.0). Columns of docs named score or predicted are replaced.
     """
     rows = docs.drop("score", "predicted")
