@@ -11,7 +11,7 @@ from test_near import brute as near_brute
 from test_small_ops import poisson_inverse
 
 import corpus_pipeline
-from weftline.llm import quality, queries
+from weftline.llm import decontaminate, near, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +59,16 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_go_by_themselves_not_by_id(spark):
+    say = lambda w: " ".join(f"{w}{k}" for k in range(30))
+    rows = [(1, say("a")), (None, say("a")), (None, say("b")), (3, say("c")), (3, say("c")), (None, say("d")), (None, say("d")), (3, say("e")), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.without_copies(df)
+    assert got.columns == df.columns
+    want = [(1, say("a")), (None, say("b")), (3, say("c")), (None, say("d")), (3, say("e")), (None, None), (None, None)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    bench = spark.createDataFrame([(1, say("b")), (2, say("c"))], "item_id long, text string")
+    left = [r for r in rows if r[1] not in (say("b"), say("c"))]
+    assert Counter(map(tuple, decontaminate.clean(df, bench).collect())) == Counter(left)

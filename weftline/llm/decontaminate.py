@@ -169,6 +169,7 @@ def _alike(sizes: list[int], cells: int = 4_000_000) -> Iterator[list[int]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id has a match."""
-    bad = saved(matches(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(bad, 1_000_000), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows that have a match, each row by itself, whatever its doc_id."""
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    bad = saved(matches(rows, benchmark, id_col="__row").select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
+    return rows.join(broadcast_if_small(bad, 1_000_000), rows["__row"] == F.col("__bad"), "left_anti").drop("__row")

@@ -74,13 +74,14 @@ def _digest(own: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(own.tobytes()), "big", signed=True)
 
 
-def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Written rows doc_id, n, text (a digest of the set; null for an empty one), and where a task sees a digest first, its regions and places, a byte of each MinHash value, and a bit map of the set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """Written rows row (row_col's number; null without), doc_id, n, text (a digest of the set; null for an empty one), and where a task sees a digest first, its regions and places, a byte of each MinHash value, and a bit map of the set."""
+    row = F.col(row_col) if row_col else F.lit(None)
+    rows = docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def found(batches):
         known: set[int] = set()
-        for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
+        for numbers, ids, texts in pieces_of(batches, ["row", "doc_id", "text"], "text", STEP):
             sets = [shingles(t, width) for t in texts]
             digests = [_digest(s) if len(s) else None for s in sets]
             new = []
@@ -94,9 +95,9 @@ def texts_by_set(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
             signs = [x.tobytes() for x in (mixed(signatures) >> np.uint64(56)).astype(np.uint8)]
             first = dict(zip(new, zip(*(x.view(np.int64) for x in forest_keys(signatures)), signs, [shingle_map(sets[k]) for k in new], strict=True), strict=True))
             lists = [pa.array([first[k][x] if k in first else None for k in range(len(texts))], t) for x, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), *lists], names=["doc_id", "n", "text", "region", "place", "signs", "map"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), *lists], names=["row", "doc_id", "n", "text", "region", "place", "signs", "map"])
 
-    return saved(rows.mapInArrow(found, "doc_id long, n long, text long, region array<long>, place array<long>, signs binary, map binary"), "texts")
+    return saved(rows.mapInArrow(found, "row long, doc_id long, n long, text long, region array<long>, place array<long>, signs binary, map binary"), "texts")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -231,8 +232,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     grouped, but have no smallest id; component_id is null and kept true where a whole component has none.
     Rows that repeat an id share its fate. Other columns are left out; an empty table gives no rows.
     """
+    out = _grouped(docs, width, percent, id_col, text_col)
+    component = F.when(F.col("text").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """One row a document: row, doc_id, n, text (null without words), comp (a text for each group) and component_id."""
     spark = docs.sparkSession
-    every = texts_by_set(docs, width, id_col, text_col)
+    every = texts_by_set(docs, width, id_col, text_col, row_col)
     texts = saved(every.filter("region is not null").dropDuplicates(["text"]), "texts")
     forest = texts.select("text", "n", F.posexplode(F.arrays_zip("region", "place")).alias("tree", "k")).select("text", "n", "tree", "k.region", "k.place")
     shared = forest.groupBy("region").agg(F.min("text").alias("low"), F.max("text").alias("high")).filter("low < high").select("region")
@@ -267,13 +275,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     groups = groups.select(F.col("node").alias("text"), "comp")
     least = every.filter("text is not null").groupBy("text").agg(F.min("doc_id").alias("least")).join(groups, "text", "left")
     least = saved(least.select("text", F.coalesce("comp", "text").alias("comp"), "least"), "least")
-    ids = saved(least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("text", "component_id"), "ids")
-    out = every.select("doc_id", "n", "text").join(ids, "text", "left")
-    component = F.when(F.col("text").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    ids = saved(least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("text", "comp", "component_id"), "ids")
+    return every.select("row", "doc_id", "n", "text").join(ids, "text", "left")
 
 
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id."""
-    gone = saved(near_groups(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, 1_000_000), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with one row of each group, the first written of those with the smallest id, or of all where none has an id. Rows without words all stay."""
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = _grouped(rows, width, percent, "doc_id", "text", "__row").filter("text is not null")
+    found = saved(found.select("row", "comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at")), "grouped")
+    stay = found.groupBy("comp").agg(F.min("at").alias("first"))
+    gone = saved(found.join(stay, "comp").filter("row <> first.row").select(F.col("row").alias("__gone")), "gone")
+    return rows.join(broadcast_if_small(gone, 1_000_000), rows["__row"] == F.col("__gone"), "left_anti").drop("__row")
