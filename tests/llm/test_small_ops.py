@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, exact, mixing, queries, token_files
+from weftline.llm import chat, common, exact, mixing, queries, token_files
 from weftline.llm.common import shared_folder
 
 SF = "/root/testdata/sf0.001"
@@ -156,6 +156,25 @@ def test_small_blocks_give_the_same_groups(spark, block):
         assert got[i] == (same[0], len(same))
 
 
+def test_blocks_of_one_hash_are_told_apart(spark):
+    texts = ["abcdef", "abcdeg", "abcdef", "xbcdef", "abc", "abc", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_groups(df, block=3, hashed=lambda b: F.length(b).cast("long")).collect()}
+    assert got == {0: (0, 2), 1: (1, 1), 2: (0, 2), 3: (3, 1), 4: (4, 2), 5: (4, 2), 6: (6, 2), 7: (6, 2)}
+
+
+def test_bit_maps_hold_just_the_hashes_given(spark):
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 12345678901234567, *range(7, 10**16, 10**14)]
+    df = spark.createDataFrame([(v,) for v in values], "h long")
+    packed = common.bitmap_of(df, 20)
+    assert common.in_bitmap(np.array(values, np.int64).view(np.uint64), packed, 20).all()
+    assert np.unpackbits(packed).sum() == len({(v % 2**64) >> 44 for v in values})
+    some = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    both = some.withColumn("bucket", F.shiftrightunsigned("h", 64 - 20 + 15)).join(common.bitmap_rows(df, 20), "bucket", "left")
+    rows = both.select("h", common.has_bit(F.col("h"), 20, F.col("map")).alias("has")).collect()
+    assert [r.has for r in rows] == common.in_bitmap(np.array([r.h for r in rows], np.int64).view(np.uint64), packed, 20).tolist()
+
+
 def test_exact_groups_of_an_empty_table(spark):
     assert exact.exact_groups(odd(spark).limit(0)).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ WORD_ENTRIES = 250_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where that is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where that is unset and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
@@ -33,7 +36,16 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes the files of saved() frames that nothing reads any more."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +104,8 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pieces_of(batches, columns: list[str], size_of: str, most: int) -> Iterator[list[list]]:
-    """Column lists of consecutive rows whose size_of column adds up to about `most` bytes, so that memory per step is bounded. At the end a worker, which Spark uses again, gives back what its caches hold."""
+def pieces_of(batches, columns: list[str], size_of: str, most: int, rows: int = 1 << 20) -> Iterator[list[list]]:
+    """Column lists of at most `rows` consecutive rows whose size_of column adds up to about `most` bytes, so that memory per step is bounded. At the end a worker, which Spark uses again, gives back what its caches hold."""
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_of))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -101,28 +113,40 @@ def pieces_of(batches, columns: list[str], size_of: str, most: int) -> Iterator[
         ends = np.cumsum(sizes)
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
             yield [c.slice(at, end - at).to_pylist() for c in cols]
             at = end
     _hashes.clear()
     pa.default_memory_pool().release_unused()
 
 
-def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of 2**bits bits over the top bits of a column of hashes, made by a few tasks and joined on the driver."""
+#: Bits of one row of a bit map, those of the built-in bitmap functions.
+MAP_ROW = 1 << 15
+
 
-    def mapped(batches):
-        found = np.zeros(1 << bits, bool)
-        for batch in batches:
-            found[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()])], names=["bits"])
+def bitmap_rows(hashes: DataFrame, bits: int) -> DataFrame:
+    """bucket, map: a bit map of 2**bits bits over the top bits of the first column (long), in rows of MAP_ROW bits; merged by all tasks."""
+    at = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits)
+    rows = hashes.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(MAP_ROW - 1)).alias("bit"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
 
+
+def has_bit(h: Column, bits: int, bitmap: Column) -> Column:
+    """Whether the map of h's bucket, null without one, has h's bit."""
+    bit = F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit(MAP_ROW - 1))
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The bit map of 2**bits bits as bytes on the driver: its size is fixed."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in hashes.coalesce(4).mapInArrow(mapped, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r.bits, np.uint8)
+    for r in bitmap_rows(hashes, bits).toLocalIterator():
+        at = r.bucket * (MAP_ROW >> 3)
+        out[at : at + (MAP_ROW >> 3)] = np.frombuffer(r.map, np.uint8)
     return out
 
 
 def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     at = hashes >> np.uint64(64 - bits)
-    return (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import saved
+from weftline.llm.common import bitmap_rows, discard, has_bit, saved
 
 #: Bytes of a block.
 BLOCK = 1024
+#: Bits of the map of recurring hashes that is broadcast (16 MB), 2 to this power. A full one lets more blocks be compared, but no result changes.
+MAP_BITS = 27
 
 
 def normalised(text: Column) -> Column:
@@ -18,7 +20,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=F.xxhash64) -> DataFrame:
     """Rows row, doc_id, text_sha256, level, name: two rows have equal texts just when level and name are equal.
 
     Level 0: each block of `block` bytes gets an integer name, equal blocks the same (the smallest number
@@ -26,7 +28,9 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last one paired with -1. A document is done at the level where one name is left, which its number of
     blocks decides. A level has half the rows of the one before, and the longest document sets their number.
 
-    Blocks are dealt by a hash, but compared whole; only blocks whose hash occurs again are compared at all.
+    Blocks are dealt by a hash, but compared whole, the least and greatest bytes of a hash being equal or not. Only
+    blocks whose hash occurs again take part: a bit map of those hashes tells them where they lie, so the bytes
+    of other blocks aren't moved. hashed: another hash of a block, for tests.
     """
     data = F.col("__text").cast("binary")
     count = F.greatest(F.ceil(F.length(data) / F.lit(block)), F.lit(1)).cast("int")
@@ -36,17 +40,28 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("row", "doc_id", "sha", "n", F.posexplode(cut).alias("pos", "block"))
     first = F.col("pos") == 0
     blocks = saved(
-        rows.select("row", "pos", "n", "block", F.xxhash64("block").alias("h"), F.monotonically_increasing_id().alias("place"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha")),
+        rows.select("row", "pos", "n", "block", hashed("block").alias("h"), F.monotonically_increasing_id().alias("place"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha")),
         "blocks",
     )
     # Sums are written before they are joined, so that a join deals out both its sides and Spark can split a frequent block or pair.
-    again = saved(blocks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(True).alias("again")), "again")
-    marked = blocks.select("row", "pos", "n", "place", "h", "block").join(again, "h", "left")
-    marked = saved(marked.select("row", "pos", "n", "place", "h", F.when(F.col("again"), F.col("block")).alias("block")), "marked")
-    alike = marked.filter("block is not null")
-    names = saved(alike.groupBy("h", "block").agg(F.min("place").alias("name")), "named")
-    alone = marked.filter("block is null").select("row", "pos", "n", "place", F.col("place").alias("name"))
-    level = saved(alike.join(names, ["h", "block"]).select("row", "pos", "n", "place", "name").unionAll(alone), "names")
+    again = saved(blocks.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "again")
+    marks = saved(bitmap_rows(again, MAP_BITS), "marks")
+    bucket = F.shiftrightunsigned("h", 64 - MAP_BITS + 15)
+    marked = blocks.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket", "left")
+    able = marked.filter(has_bit(F.col("h"), MAP_BITS, F.col("map"))).groupBy("h").agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"), F.min("place").alias("name"))
+    able = saved(able.filter("c > 1").select("h", "name", (F.col("low") != F.col("high")).alias("mixed")), "named")
+    places = blocks.select("row", "pos", "n", "place", "h")
+    level = places.join(able.hint("merge"), "h", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    several = able.filter("mixed").select("h")
+    if several.isEmpty():
+        level = level.select("row", "pos", "n", "place", F.coalesce("name", "place").alias("name"))
+    else:  # one hash of different blocks: these are named by their bytes
+        alike = saved(blocks.join(several, "h").select("row", "pos", "n", "place", "h", "block"), "alike")
+        apart = saved(alike.groupBy("h", "block").agg(F.min("place").alias("name")), "apart")
+        level = level.filter(~F.col("mixed")).select("row", "pos", "n", "place", F.coalesce("name", "place").alias("name"))
+        level = level.unionAll(alike.join(apart, ["h", "block"]).select("row", "pos", "n", "place", "name"))
+    level = saved(level, "names")
+    discard(again, marks, able)
     most, done, k = blocks.agg(F.max("n")).first()[0] or 0, [], 0
     while True:
         done.append(level.filter("n = 1").select("row", F.lit(k).alias("level"), "name"))
@@ -61,24 +76,25 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         pairs = saved(pairs, "pairs")
         names = saved(pairs.groupBy("a", "b").agg(F.min("place").alias("name")), "named")
-        level = saved(pairs.join(names, ["a", "b"]).select("row", "pos", "n", "place", "name"), "names")
+        level = saved(pairs.join(names.hint("merge"), ["a", "b"]).select("row", "pos", "n", "place", "name"), "names")
+        discard(pairs, names)
         most, k = (most + 1) // 2, k + 1
     heads = blocks.filter("pos = 0").select("row", "doc_id", F.col("sha").alias("text_sha256"))
     return heads.join(reduce(DataFrame.unionAll, done), "row")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, hashed=F.xxhash64) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     The row with the smallest id of a group of equal texts is kept (null ids come last; of rows that repeat
     an id the first as numbered on reading), so each group keeps just one row. Null and empty texts are equal.
     Other columns are left out; an empty table gives no rows.
     """
-    named = saved(block_names(docs, id_col, text_col, block), "identity")
+    named = saved(block_names(docs, id_col, text_col, block, hashed), "identity")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     # Written, so that the join below deals both its sides out anew and Spark can split a large group.
     groups = saved(named.groupBy("level", "name").agg(F.min(rank).alias("keep"), F.count("*").alias("group_size")), "groups")
-    out = named.join(groups, ["level", "name"])
+    out = named.join(groups.hint("merge"), ["level", "name"])
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
 
 
