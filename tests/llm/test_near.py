@@ -95,6 +95,26 @@ def test_similar_signatures_estimate_similarity():
     assert abs((near.signature(a) == near.signature(b)).mean() - 0.8) < 0.1
 
 
+@pytest.mark.parametrize("crowd", [2])
+def test_crowded_regions_are_deepened_and_lose_no_link(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(near, "CROWD", crowd)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert order(map(tuple, near.near_groups(df, 2).collect())) == order(brute(docs, 2))
+
+
+def test_regions_are_as_deep_as_their_size_asks(spark, monkeypatch):
+    monkeypatch.setattr(near, "CROWD", 2)
+    place = lambda *v: sum(x << 16 * (3 - k) for k, x in enumerate(v)) - (1 << 64 if v[0] >> 15 else 0)
+    rows = [(1, place(7, 7, 1, 1), 0, 9, 0), (1, place(7, 7, 2, 1), 1, 9, 1), (1, place(7, 8, 2, 1), 2, 9, 2), (1, place(65535, 8, 2, 1), 3, 9, 3), (2, place(1, 1, 1, 1), 4, 9, 4), (2, place(2, 1, 1, 1), 5, 9, 5), (3, 0, 6, 9, 6), (3, 0, 7, 9, 6)]
+    got = near._regions(spark.createDataFrame(rows, "region long, place long, text long, n long, comp long")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.region, set()).add(r.text)
+    assert sorted(map(sorted, groups.values())) == [[0, 1], [4, 5]]
+    a = np.array([place(7, 7, 1, 1), place(7, 7, 1, 1)], np.int64).view(np.uint64)
+    assert near.prefix_lengths(a, np.array([place(7, 7, 1, 1), place(7, 1, 1, 1)], np.int64).view(np.uint64)).tolist() == [4, 1]
+
+
 def test_maps_never_rule_out_what_is_common():
     rng = np.random.default_rng(2)
     for size in (1, 50, 3000):
