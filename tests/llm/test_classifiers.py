@@ -51,6 +51,12 @@ def test_quality_of_odd_rows(spark):
     assert {r.score for r in quality.scores(odd(spark), labels.limit(0)).collect()} == {1.0}
 
 
+def test_columns_of_documents_do_not_clash_with_labels(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    more = odd(spark).withColumns({c: F.lit(7) for c in ("label", "quality", "most", "n", "term")})
+    assert sorted(r.score for r in quality.scores(more, labels).collect()) == sorted(r.score for r in quality.scores(odd(spark), labels).collect())
+
+
 def test_a_bounded_sample_keeps_the_balance_of_labels(spark):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["ab!!", "cd", "ef", "gh|", "IJ"]) for _ in range(20)), int(k % 20 >= 3)) for k in range(600)]
@@ -77,8 +83,9 @@ def test_language_on_held_out_rows(spark):
 def test_bayes_equals_brute_force(spark):
     texts = [("en", "the cat and the dog"), ("en", "An end"), ("fr", "l'été où déjà"), ("fr", "le chat et le chien"), (None, "zzz"), ("de", None)]
     df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
-    langs, table, bits = language.fit(df, F.lit(True))
-    assert langs == ["en", "fr"] and bits == language.BITS
+    langs, table = language.fit(df, F.lit(True))
+    bits = language.BITS
+    assert langs == ["en", "fr"]
 
     def grams(t):
         chars = [ord(c.lower()) if c.isascii() and c.isalpha() else 32 if c.isascii() else ord(c) for c in t] + [1, 1]
@@ -95,11 +102,17 @@ def test_bayes_equals_brute_force(spark):
             counts[x][g] += 1
     for t in ("the chat", "été", "a", "x" * 50):
         want = np.array([np.log(0.5) + sum(np.log(counts[x][g] / counts[x].sum()) for g in grams(t)) for x in langs])
-        got = language.predict(spark.createDataFrame([(t,)], "text string"), (langs, table, bits)).first()
+        got = language.predict(spark.createDataFrame([(t,)], "text string"), (langs, table)).first()
         assert got.lang_pred == langs[int(want.argmax())]
         assert got.score == pytest.approx(1 / np.exp(want - want.max()).sum(), abs=1e-4)
 
 
+def test_too_many_languages_are_refused(spark):
+    df = spark.range(language.LANGUAGES + 1).select(F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"), F.col("id").alias("doc_id"))
+    with pytest.raises(ValueError):
+        language.fit(df, F.lit(True))
+
+
 def test_a_text_scores_alike_in_any_company():
     a = [language.gram_buckets([t], 15)[0] for t in ("été", "b", "long text")]
     both, starts = language.gram_buckets(["été", "b", "long text"], 15)
@@ -152,17 +165,17 @@ def test_planted_copies(spark):
             docs.append((10 * k + kind, " ".join(say(rng.randint(0, 300)) + passage + say(rng.randint(0, 90)))))
             if kind < 3:
                 want.add((10 * k + kind, i))
-    docs += [(None, " ".join(items[0][1])), (500, None), (501, ""), (501, ""), (502, " ".join(items[1][1] * 400))]
-    want |= {(None, 0), (502, 1)}
+    docs += [(None, " ".join(items[0][1])), (500, None), (501, ""), (501, ""), (502, " ".join(items[1][1] * 400)), (503, "W1!"), (504, "w1 w2"), (505, "w2"), (506, "w2 w1")]
+    want |= {(None, 0), (502, 1), (503, 91), (504, 92)}
     df = spark.createDataFrame([(d, t, "s", "c", 1) for d, t in docs], "doc_id long, text string, source string, item_id string, n int")
-    bench = spark.createDataFrame([(i, " ".join(w), "c") for i, w in items] + [(90, None, "c"), (91, "w1", "c"), (0, " ".join(items[0][1]), "c")], "item_id long, text string, seeds string")
+    bench = spark.createDataFrame([(i, " ".join(w), "c") for i, w in items] + [(90, None, "c"), (91, "w1", "c"), (92, "w1, w2", "c"), (0, " ".join(items[0][1]), "c")], "item_id long, text string, seeds string")
     got = dec.matches(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert all(r.similarity == 1 for r in got if r.doc_id is not None and r.doc_id % 10 < 2 and r.doc_id < 500)
     text = dict(docs)
-    by = dict(items)
+    by = dict(items) | {91: ["w1"], 92: ["w1", "w2"]}
     for r in got:
-        assert smith_waterman(by[r.item_id], [w.strip(",").lower() for w in text[r.doc_id].split()][r.start : r.stop]) == pytest.approx(r.similarity * dec.MATCH * len(by[r.item_id]))
+        assert smith_waterman(by[r.item_id], [w.strip(",!").lower() for w in text[r.doc_id].split()][r.start : r.stop]) == pytest.approx(r.similarity * dec.MATCH * len(by[r.item_id]))
     left = {r.doc_id for r in dec.clean(df, bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in want}
     assert dec.matches(df.limit(0), bench).count() == 0 and dec.matches(df, bench.limit(0)).count() == 0

@@ -1,11 +1,13 @@
 """Token files, exact dedup, chat rotation and mixing against SQL, brute force and round trips."""
 
+import glob
 import hashlib
 import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +109,22 @@ def test_pieces_encode_as_the_whole(text):
     assert encoder.encode_long(text).tolist() == want
 
 
+def test_a_nul_after_a_space_is_kept():
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    for text in ("a \0b", "\0", " \0", "\0 \0.", "a \0", "x \0b c \0b. \0\0", "\0a \0a!"):
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode([text])[0].tolist() == want and encoder.encode_long(text).tolist() == want
+
+
+def test_files_lie_in_order(spark):
+    # The shards differ in size, so that Spark reads them in another order than they have.
+    docs = spark.range(400).select("id", F.concat(F.lit("w"), F.repeat(F.lit(" some more"), F.when(F.col("id") < 200, 3).otherwise(((F.col("id") * 37) % 800).cast("int"))), F.col("id").cast("string")).alias("text")).withColumnRenamed("id", "doc_id")
+    path = shared_folder(spark, "test")
+    token_files.write_token_files(docs, path, queries.tokenizer_path())
+    ids = [i for f in sorted(glob.glob(f"{path.removeprefix('file://')}/docs/*.parquet")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    assert ids == list(range(400))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [r"one two three, two Éa éa! four", "two three five.\nsix two", "été one. four four"]
     encoder = token_files.Encoder(queries.tokenizer_path())
@@ -225,7 +243,7 @@ def test_mixing_of_odd_rows(spark):
         rate = 40 * len(ODD) / len(sizes) / sizes[r[3]]
         m = max(1, math.ceil(rate / 32))
         for j in range(1, m + 1):
-            u = int(hashlib.md5(f"4:{'null' if r[0] is None else r[0]}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"4:{'null' + hashlib.md5((r[1] or '').encode()).hexdigest() if r[0] is None else r[0]}:{j}".encode()).hexdigest()[:13], 16) / 2**52
             want += poisson_inverse(rate / m, u)
     assert got.count() == want
     assert mixing.mix(odd(spark).limit(0)).count() == 0
@@ -249,7 +267,21 @@ def test_sources_without_a_weight_go(spark):
     assert {r.doc_id for r in got.collect()} == {2}
 
 
-def test_no_python_on_the_main_path(spark):
+def test_no_python_on_the_main_path(spark, monkeypatch):
+    plans = []
+
+    def saved(df, *more, then=common.saved):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return then(df, *more)
+
+    for module in (exact, mixing):
+        monkeypatch.setattr(module, "saved", saved)
     for name in ("op3_exact_dedup", "op10_mixing", "op4_chat_rotation"):
-        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan
+        plans.append(queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 9 and not any("Python" in p or "Arrow" in p for p in plans)
+
+
+def test_null_ids_are_drawn_by_their_texts(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    n = mixing.mix(docs).groupBy("text").count().groupBy("count").count().count()
+    assert n > 3 and abs(mixing.mix(docs).count() - 2000) < 200

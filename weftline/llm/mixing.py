@@ -50,25 +50,26 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: float
     return w.select("source", "n", (share * F.lit(wanted) / F.col("n")).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: int = 0, key: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: int = 0, key: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns and copy_no int (from 1), each document as often as its Poisson draw says, in shuffled order.
 
     A row's draw is the inverse of the Poisson distribution at a number hashed from seed and id, so a lost
-    task gives the same copies again. A null id is hashed as "null": such rows, and rows that repeat an id,
-    are each drawn alike. A null source is a source of its own; texts are not looked at. An empty table stays
-    empty. A column of docs named copy_no is replaced. The shuffle goes by a hash of id and copy, so a
+    task gives the same copies again. Of a null id, the text's md5 is hashed in its place; rows that are alike in that
+    too, and rows that repeat an id, are each drawn alike. A null source is a source of its own. An empty table
+    stays empty. A column of docs named copy_no is replaced. The shuffle goes by a hash of id and copy, so a
     source or a document with many copies spreads over all partitions.
     """
     rates = saved(source_rates(docs, weights, total, key), "rates")
     parts = F.greatest(F.ceil(F.col("rate") / DRAW_MEAN), F.lit(1)).cast("int")
     rates = rates.filter("rate > 0").select(F.col("source").alias("__source"), parts.alias("__parts"), poisson_table(F.col("rate") / parts).alias("__cdf"))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")),
-        F.lit(0),
-        lambda n, j: n + F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform(F.lit(str(seed)), name, j.cast("string")))),
-    )
     docs = docs.drop("copy_no")
+    name = F.col(id_col).cast("string")
+    if text_col in docs.columns:
+        name = F.coalesce(name, F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    name = F.coalesce(name, F.lit("null"))
+    # The numbers first, so that each is worked out once and not for every term it is compared with.
+    numbers = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: uniform(F.lit(str(seed)), name, j.cast("string")))
+    draws = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
     joined = docs.join(broadcast_if_small(rates, BROADCAST_SOURCES), docs[key].eqNullSafe(F.col("__source")))
     copies = joined.withColumn("__n", draws).filter("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("copy_no").cast("string")))
@@ -84,8 +85,9 @@ k AS (SELECT CAST(range AS INTEGER) AS k FROM range(0, {TERMS} + 1)),
 f AS (SELECT a.k AS k, coalesce(sum(ln(b.k)), 0.0) AS lf FROM k AS a LEFT JOIN k AS b ON b.k BETWEEN 1 AND a.k GROUP BY a.k),
 p AS (SELECT source, parts, k, exp(k * ln(rate / parts) - rate / parts - lf) AS p FROM r, f),
 c AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-u AS (SELECT doc_id, d.source AS source, j.k AS j, CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(j.k AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-  FROM documents AS d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN k AS j ON j.k BETWEEN 1 AND r.parts),
-m AS (SELECT u.doc_id AS doc_id, count(*) AS m FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u GROUP BY u.doc_id)
-SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, k.k AS copy_no FROM documents AS d JOIN m ON m.doc_id = d.doc_id JOIN k ON k.k BETWEEN 1 AND m.m
+d AS (SELECT *, row_number() OVER () AS row_no, coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, ''))) AS name FROM documents),
+u AS (SELECT row_no, d.source AS source, CAST('0x' || substr(md5('0:' || name || ':' || CAST(j.k AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source JOIN k AS j ON j.k BETWEEN 1 AND r.parts),
+m AS (SELECT u.row_no AS row_no, count(*) AS m FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u GROUP BY u.row_no)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, k.k AS copy_no FROM d JOIN m ON m.row_no = d.row_no JOIN k ON k.k BETWEEN 1 AND m.m
 """
