@@ -3,7 +3,7 @@
 Format of a folder:
   ranks/   Parquet (rank int, id int): rank 0 is the id that all documents hold most often, ties by id.
   docs/    Parquet, one row a document: shard int, start long (ids before it in its shard), doc_id,
-           n_tokens long, control binary, data binary. Within a shard, rows ascend by start.
+           n_tokens long, control binary, data binary. Files by name, and rows in them, ascend by shard and start.
 A document's ids are replaced by their ranks; each rank takes 1 to 4 little-endian bytes in `data`, and a
 2-bit code (bytes - 1) in `control`, four codes a byte, the first in the low bits. Decoding looks a
 control byte up in a table of 256 byte masks, so numpy does it without a loop over ids.
@@ -95,10 +95,12 @@ class Encoder:
             self._keep(np.arange(len(old)), ids, lengths)
 
     def pieces(self, text: str) -> list[str]:
-        """Pieces of text; one without a leading "\0" stands for itself after a space."""
+        """Pieces of text: after a leading "\0" as they are; all others, which have no "\0" there, after a space."""
         if _SPACED.search(text):
             return ["\0" + p for p in _CUT.split(text)]
         parts = text.split(" ")
+        if "\0" in text:
+            parts = ["\0 " + p if p[:1] == "\0" and k else p for k, p in enumerate(parts)]
         parts[0] = "\0" + parts[0]
         return parts
 
@@ -279,7 +281,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             control, control_ends, data, data_ends = control_and_data(ranks.value[_bytes_of(batch.column(5)).view(wide)], n)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3, 4)), _binary(control, control_ends), _binary(data, data_ends)], names=["shard", "start", "doc_id", "n_tokens", "control", "data"])
 
-    made.filter("kind = 0").mapInArrow(coded, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/docs")
+    # Spark packs files into tasks by size; dealt by place, they are written in order.
+    placed = made.filter("kind = 0").repartitionByRange("shard", "start").sortWithinPartitions("shard", "start")
+    placed.mapInArrow(coded, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/docs")
 
 
 def read_token_files(spark: SparkSession, path: str, schema: str, per_document) -> DataFrame:
