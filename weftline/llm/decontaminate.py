@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import bitmap_of, broadcast_if_small, in_bitmap, ngram_hashes, pieces_of, saved, word_hashes
 
-#: Words of a seed. All seeds of an item are looked up.
+#: Words of a seed. All seeds of an item are looked up. What has fewer words is one seed as a whole.
 SEED = 3
 #: Alignment score of two equal words, two different ones, and a word left out; a pair counts from this share of the score of a whole copy on.
 MATCH, MISMATCH, GAP, LEAST = 2, -1, -1, 0.5
@@ -33,6 +33,10 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace").translate(None, _SIGNS))
 
 
+def seeds_of(words: np.ndarray) -> np.ndarray:
+    return ngram_hashes(words, min(SEED, max(1, len(words))))
+
+
 def item_words(benchmark: DataFrame) -> DataFrame:
     """item_id, text's word hashes as uint32 and its seeds; repeated rows of one id and text count once."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
@@ -41,7 +45,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
         for ids, texts in pieces_of(batches, ["item_id", "text"], "text", STEP):
             words = [words_of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([w.astype("<u4").tobytes() for w in words]), pa.array([np.unique(ngram_hashes(w, SEED)).view(np.int64) for w in words], pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([w.astype("<u4").tobytes() for w in words]), pa.array([np.unique(seeds_of(w)).view(np.int64) for w in words], pa.list_(pa.int64()))],
                 names=["item_id", "n", "words", "seeds"],
             )
 
@@ -73,7 +77,7 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: int, id_col: str
             out = []
             for doc_id, text in zip(ids, texts, strict=True):
                 words = words_of(text)
-                grams = ngram_hashes(words, SEED)
+                grams = seeds_of(words)
                 at = np.flatnonzero(in_bitmap(grams, bits.value, FILTER_BITS))
                 for k in sorted({t for t in (*(at // width).tolist(), *(at // width - 1).tolist()) if t >= 0}):
                     lo, hi = np.searchsorted(at, [k * width, (k + 2) * width])
@@ -119,7 +123,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     similarity (LEAST to 1) is the alignment's score over that of a whole copy; start and stop number the
     document's words the alignment spans. The best alignment of each pair; rows that share an id count as one
-    document, null ids too. Null and empty texts match nothing; neither do items under SEED words. Other columns are left out.
+    document, null ids too. Null and empty texts match nothing. An item under SEED words has no seed in a longer text and
+    so matches only documents that are that item and nothing else. Other columns are left out.
     """
     items = item_words(benchmark)
     width = int(1.5 * (items.agg(F.max("n")).first()[0] or 0)) + 1
@@ -138,9 +143,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 a = [np.frombuffer(own[k], "<u4") for k in at]
                 score, start, stop = align(a, [np.frombuffer(words[k], "<u4") for k in at])
                 share = score / (MATCH * np.array([len(x) for x in a]))
-                for k in np.flatnonzero(share >= LEAST):
-                    out = (doc[at[k]], item[at[k]], float(share[k]), tile[at[k]] * width + int(start[k]), tile[at[k]] * width + int(stop[k]))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start", "stop"])
+                good = np.flatnonzero(share >= LEAST)
+                first = np.array([tile[k] for k in at], np.int64)[good] * width
+                yield pa.RecordBatch.from_arrays([pa.array([doc[at[k]] for k in good], pa.int64()), pa.array([item[at[k]] for k in good], pa.int64()), pa.array(share[good]), pa.array(first + start[good]), pa.array(first + stop[good])], names=["doc_id", "item_id", "similarity", "start", "stop"])
 
     found = both.mapInArrow(aligned, "doc_id long, item_id long, similarity double, start long, stop long")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "stop")).alias("m"))

@@ -12,8 +12,8 @@ from weftline.llm.common import id_remainder, pieces_of, with_columns
 
 #: Lengths of the n-grams.
 ORDERS = (1, 2, 3)
-#: Buckets are 2 to this power, fewer where the matrix would pass CELLS (its broadcast takes 4 bytes a cell).
-BITS, CELLS = 15, 1 << 22
+#: Buckets are 2 to this power. Languages at most: the matrix takes 128 KB of the broadcast for each, 128 MB in all.
+BITS, LANGUAGES = 15, 1000
 #: Added to every count.
 SMOOTHING = 0.1
 STEP = 2_000_000
@@ -48,46 +48,47 @@ def gram_buckets(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndar
     return out, starts
 
 
-def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, int]:
-    """Languages in order, log-probabilities by language and bucket (with the prior in the last column), bits.
+def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages in order, log-probabilities by language and bucket (with the prior in the last column).
 
     Counts all documents for which the column train holds and language and text aren't null. The counts come
-    to the driver summed: at most CELLS of them while there are fewer than 2**14 languages.
+    to the driver summed, 2**BITS for each language at most. More than LANGUAGES languages raise a ValueError.
     """
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = sorted(totals)
-    bits = max(8, min(BITS, int(np.log2(CELLS // max(1, len(langs))))))
     at = {x: k for k, x in enumerate(langs)}
 
     def counted(batches):
         counts: dict[str, np.ndarray] = {}
         for each, texts in pieces_of(batches, ["lang", "text"], "text", STEP):
             for lang in set(each):
-                buckets, starts = gram_buckets([t for x, t in zip(each, texts, strict=True) if x == lang], bits)
+                buckets, starts = gram_buckets([t for x, t in zip(each, texts, strict=True) if x == lang], BITS)
                 inside = np.ones(starts[-1], bool)
                 for k in range(1, max(ORDERS)):
                     inside[starts[1:] - k] = False
-                total = counts.setdefault(lang, np.zeros(1 << bits, np.int64))
+                total = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 for b in buckets:
-                    total += np.bincount(b[: len(inside)][inside], minlength=1 << bits)
+                    total += np.bincount(b[: len(inside)][inside], minlength=1 << BITS)
         for lang, n in counts.items():
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), at[lang])), pa.array(used), pa.array(n[used])], names=["lang", "bucket", "n"])
 
     sums = rows.mapInArrow(counted, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    model = np.full((len(langs), (1 << bits) + 1), SMOOTHING)
+    model = np.full((len(langs), (1 << BITS) + 1), SMOOTHING)
     model[sums["lang"].to_numpy(), sums["bucket"].to_numpy()] += sums["n"].to_numpy()
     model[:, :-1] = np.log(model[:, :-1] / model[:, :-1].sum(axis=1, keepdims=True))
     model[:, -1] = np.log([totals[x] / sum(totals.values()) for x in langs])
-    return langs, model.astype(np.float32), bits
+    return langs, model.astype(np.float32)
 
 
-def _scored(texts: list[str | None], langs: list[str], table: np.ndarray, bits: int) -> tuple[list[str], np.ndarray]:
+def _scored(texts: list[str | None], langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
     able = [k for k, t in enumerate(texts) if t and langs and _LETTER.search(t)]
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
     if able:
-        buckets, starts = gram_buckets([texts[k] for k in able], bits)
+        buckets, starts = gram_buckets([texts[k] for k in able], BITS)
         # From each text's begin to its end marks, and from there to the next text: every second sum is a text's.
         cuts = np.stack([starts[:-1], starts[1:] - max(ORDERS) + 1], axis=1).ravel()
         sums = np.empty((len(langs), len(able)))
@@ -101,21 +102,21 @@ def _scored(texts: list[str | None], langs: list[str], table: np.ndarray, bits:
     return lang, score
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, int], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """docs' columns with lang_pred and score, the probability of lang_pred among the languages learned.
 
     `und` with score 0 for a null text, one without a letter, or where nothing was learned. Of languages
     that are equally likely the first in order of names is taken. A column of docs named lang_pred or
     score is replaced.
     """
-    langs, table, bits = model
+    langs, table = model
     rows = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scored(batches):
         for batch in batches:
             one = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text_col))], names=["t"])
-            done = [_scored(t, langs, shared.value, bits) for (t,) in pieces_of([one], ["t"], "t", STEP)]
+            done = [_scored(t, langs, shared.value) for (t,) in pieces_of([one], ["t"], "t", STEP)]
             lang, score = pa.array([x for d, _ in done for x in d], pa.string()), pa.array([x for _, d in done for x in d], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, lang, score], names=[*batch.schema.names, "lang_pred", "score"])
 

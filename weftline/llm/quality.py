@@ -22,7 +22,8 @@ SHAPES, WORDS = 2048, 1024
 TERMS = SHAPES + WORDS + 1
 #: How the three kinds weigh in a document's vector.
 WEIGHTS = (1.0, 0.3, 1.0)
-STEP = 1_000_000
+#: Bytes and rows of texts whose term counts are held at once.
+STEP, ROWS = 1_000_000, 500
 
 
 def _class(code: int) -> int:
@@ -110,7 +111,8 @@ def fit_vectors(counts: np.ndarray, labels: np.ndarray, rows: dict[int, int] | N
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """Rows text, label: at most per_label of each label; and how many ids have each label. An id labelled both ways is left out."""
+    """Rows doc_id, text, label: at most per_label of each label; and how many ids have each label. An id labelled both ways is left out."""
+    docs = docs.select("doc_id", "text")
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
     one = one.filter(F.col("label") == F.col("most")).filter(train)
     ids = saved(docs.select("doc_id").distinct().join(one, "doc_id").select("doc_id", "label"), "labelled")
@@ -118,23 +120,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label
     chosen = [ids.filter(F.col("label") == v).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(per_label) for v in (0, 1)]
     wanted = chosen[0].unionAll(chosen[1])
     found = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "label")  # wanted: 2 * per_label rows at most
-    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).drop("doc_id"), rows
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")), rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> Model:
     def counted(batches):
-        for texts, label in pieces_of(batches, ["text", "label"], "text", STEP):
+        for ids, texts, label in pieces_of(batches, ["doc_id", "text", "label"], "text", STEP, ROWS):
             c = term_counts(texts)
             cells = [np.flatnonzero(r) for r in c]
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r[x] for r, x in zip(c, cells, strict=True)], pa.list_(pa.int32()))], names=["label", "term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array([r[x] for r, x in zip(c, cells, strict=True)], pa.list_(pa.int32()))], names=["doc_id", "label", "term", "n"])
 
     sample, rows = labelled_sample(docs, labels, train, per_label)
-    got = sample.mapInArrow(counted, "label int, term array<int>, n array<int>").toArrow()
+    sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    got = sample.mapInArrow(counted, "doc_id long, label int, term array<int>, n array<int>").toArrow().sort_by("doc_id")  # the rows come in no set order
     counts = np.zeros((len(got), TERMS), np.int32)
     for row, term, n in zip(counts, got["term"], got["n"], strict=True):
         row[term.values.to_numpy()] = n.values.to_numpy()
-    order = np.lexsort([*counts.T[:8], counts.sum(axis=1)])  # the rows come in no set order
-    return fit_vectors(counts[order], got["label"].to_numpy().astype(float)[order], rows)
+    return fit_vectors(counts, got["label"].to_numpy().astype(float), rows)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -150,7 +152,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             text = batch.column(batch.schema.get_field_index(text_col))
             one = pa.RecordBatch.from_arrays([text], names=["t"])
-            score = np.concatenate([shared.value.score(t) for (t,) in pieces_of([one], ["t"], "t", STEP)]) if batch.num_rows else np.zeros(0)
+            score = np.concatenate([shared.value.score(t) for (t,) in pieces_of([one], ["t"], "t", STEP, ROWS)]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return rows.mapInArrow(scored, with_columns(rows.schema, "score double, predicted int"))
