@@ -96,7 +96,9 @@ def fit_vectors(counts: np.ndarray, labels: np.ndarray, rows: dict[int, int] | N
     if not len(labels):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0, labels)
     idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _frequencies(counts) * idf
+    x = np.empty(counts.shape, np.float32)
+    for k in range(0, len(x), ROWS):  # in steps, which need little more than x
+        x[k : k + ROWS] = _frequencies(counts[k : k + ROWS]) * idf
     q = np.random.default_rng(0).standard_normal((TERMS, DIMS + 16)).astype(np.float32)
     for _ in range(5):
         q = np.linalg.qr(x.T @ (x @ q))[0]
@@ -105,9 +107,9 @@ def fit_vectors(counts: np.ndarray, labels: np.ndarray, rows: dict[int, int] | N
     for label, n in (rows or {}).items():
         weights[labels == label] = n / max(1, (labels == label).sum())
     prior = float((weights * labels).sum() / weights.sum())
-    model = Model(idf, axes.astype(np.float32), np.zeros((0, 1)), labels.astype(np.float64), prior, weights)
-    model.vectors = model.embed(counts)
-    return model
+    axes = axes.astype(np.float32)
+    vectors = x @ axes
+    return Model(idf, axes, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), labels.astype(np.float64), prior, weights)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
