@@ -327,7 +327,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     groups = texts.select("text", "hi", "lo").join(groups, F.col("text") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "text").alias("comp"))
     least = every.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).join(groups, ["hi", "lo"])
     least = saved(least, "least")
-    ids = saved(least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("hi", "lo", "comp", "component_id"), "ids")
+    # Written before it is joined, so that Spark can split a large group.
+    smallest = saved(least.groupBy("comp").agg(F.min("least").alias("component_id")), "smallest")
+    ids = saved(least.join(smallest, "comp").select("hi", "lo", "comp", "component_id"), "ids")
     return every.select("row", "doc_id", "n", "hi", "lo").join(ids, ["hi", "lo"], "left")
 
 
@@ -336,6 +338,6 @@ def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = _grouped(rows, width, percent, "doc_id", "text", "__row").filter("hi is not null")
     found = saved(found.select("row", "comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at")), "grouped")
-    stay = found.groupBy("comp").agg(F.min("at").alias("first"))
+    stay = saved(found.groupBy("comp").agg(F.min("at").alias("first")), "stay")
     gone = saved(found.join(stay, "comp").filter("row <> first.row").select(F.col("row").alias("__gone")), "gone")
     return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), rows["__row"] == F.col("__gone"), "left_anti").drop("__row")
