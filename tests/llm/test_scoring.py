@@ -21,17 +21,20 @@ def brute(docs):
         if not held(d):
             w = toks(t)
             one.update(w)
-            one["START"] += 1
             two.update(zip(["START", *w], w))
-    n, v = sum(c for w, c in one.items() if w != "START"), len([w for w in one if w != "START"])
+    n, v = sum(one.values()), len(one)
     total = n + 0.5 * (v + 1)
-    quant = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0.0
+    word = lambda w: {"END": scoring._END, "START": scoring._START}[w] if isinstance(w, str) else scoring.word_hashes(w)[0]
+    value = lambda key, c: scoring.VALUES[scoring.level_of(key, np.array([c]))[0]] if c else 0.0
+    pair = lambda a, b: value(scoring.pair_keys(np.array([word(a)]), np.array([word(b)])), two[a, b])
+    least = min((1 << k for k in range(50) if sum(c >= 1 << k for c in one.values()) <= scoring.FREQUENT), default=0)
+    single = lambda w: one[w] if one[w] >= least else value(scoring.word_keys(np.array([word(w)])), one[w])
     for d, t in docs:
         w = toks(t)
         score = 0.0
         for a, b in zip(["START", *w], w):
-            single = (quant(one[b]) + 0.5) / total
-            score += math.log10((min(quant(two[a, b]), quant(one[a])) + scoring.MU * single) / (quant(one[a]) + scoring.MU))
+            seen, share = single("END" if a == "START" else a), (single(b) + 0.5) / total
+            score += math.log10((min(pair(a, b), seen) + scoring.MU * share) / (seen + scoring.MU))
         base = sum(math.log10((one[x] + 0.5) / total) for x in w)
         yield d, held(d), len(w), sum(one[x] > 0 for x in w), n, base, score
 
@@ -71,8 +74,8 @@ def test_filter_keeps_every_count_and_few_others(spark, docs):
     model, _ = scoring.fit(frame(spark, docs), filter_bits=17)
     counts = Counter(w for _, t in docs for w in (t or "").encode().lower().split())
     keys = scoring.word_keys(np.array([scoring.word_hashes(w)[0] for w in counts], np.uint64))
-    exact = 1.5 * 2.0 ** (scoring.level_of(np.array(list(counts.values()))) - 1) - 0.5
-    assert (model.count(keys) >= exact).all()
+    exact = scoring.VALUES[scoring.level_of(keys, np.array(list(counts.values())))]
+    assert (model.count(keys) >= exact).all() and (model.count(keys) > exact).mean() < 0.1
     unseen = scoring.word_keys(scoring.word_hashes(" ".join(f"u{k}" for k in range(5000)).encode()))
     assert (model.count(unseen) > 0).mean() < 0.1
 
@@ -105,3 +108,24 @@ def test_wrong_answers_do_not_rise_with_the_entries(spark, monkeypatch):
     bits = scoring.segment_bits(10**6, 17, scoring.ERROR)
     places = [scoring._places(scoring.mixed(np.arange(1 << 16, dtype=np.uint64)), 1, b) for b in (bits, np.full(1 << 16, 23))]
     assert bits == 24 and all(x.max() > 0.9 * 2**b for p, b in zip(places, (24, 23), strict=True) for x in p)
+
+
+def test_levels_are_right_on_the_mean():
+    assert scoring.VALUES[:15].tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24]
+    keys = scoring.mixed(np.arange(40000, dtype=np.uint64))
+    for n in (1, 2, 3, 4, 5, 7, 9, 11, 100, 12345, 10**12):
+        got = scoring.VALUES[scoring.level_of(keys, np.full(len(keys), n))]
+        assert got.mean() == pytest.approx(n, rel=0.01) and len(set(got)) <= 2
+
+
+def test_probabilities_add_up_to_one(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, _ = scoring.fit(df, filter_bits=BITS + 4)
+    words = sorted({w for r in df.select("text").collect() for w in (r.text or "").encode().lower().split()})
+    vocab = np.array([*(scoring.word_hashes(w)[0] for w in words), scoring._END, np.uint64(5)], np.uint64)  # 5: a word not seen
+    assert len(words) + 1 == model.distinct
+    common = vocab[np.argsort(-model.word_count(scoring.word_keys(vocab)))]
+    sums = []
+    for before in [scoring._START, *common[[0, 1, 5, 50, 500, 5000]], *vocab[[7, 700, -1]]]:
+        sums.append((10 ** model.log_probabilities(vocab, np.full(len(vocab), before))).sum())
+    assert all(0.9 < s < 1.1 for s in sums) and abs(np.mean(sums) - 1) < 0.04, sums

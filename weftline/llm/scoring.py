@@ -6,17 +6,19 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import id_remainder, mixed, pieces_of, saved, word_hashes
 
-#: The filter has 2**FILTER_BITS bits (64 MB) at least in 2**SEGMENT_BITS segments, and is broadcast if it has no more.
+#: The filter has 2**FILTER_BITS bits (64 MB) at least, and is broadcast if it has no more.
 #: A segment with more entries is made larger, so that a probe's share of wrong answers stays at ERROR at most.
-FILTER_BITS, SEGMENT_BITS, PROBES, ERROR = 29, 12, 3, 0.02
+FILTER_BITS, PROBES, ERROR = 29, 3, 0.02
+#: Segments are 2**SEGMENT_BITS for up to SEGMENT_BYTES of training text, and twice as many for each doubling of it.
+SEGMENT_BITS, SEGMENT_BYTES = 12, 4 << 30
+#: Bits of a key within its segment.
+KEY_BITS = 32
 #: Weight, in counts, of the one-word distribution in the two-word one.
 MU = 8.0
 #: Words whose exact counts are broadcast, the most frequent ones; all others' counts are joined.
@@ -49,13 +51,30 @@ def token_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tokens, before, n
 
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, ..."""
-    return np.floor(np.log2(counts)).astype(np.int64) + 1
+#: Counts that the levels 0, 1, 2, ... stand for: 0 to 8, 10, 12, 14, 16, 20, ...: four for each doubling.
+VALUES = np.array([0.0, 1.0, 2.0, 3.0, *((4.0 + k % 4) * 2.0 ** (k // 4) for k in range(200))])
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)
+def level_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The level of each count: one of the two whose values are next to it, by a hash of the key, so that the value is the count on the mean."""
+    low = np.searchsorted(VALUES, counts, "right") - 1
+    share = (counts - VALUES[low]) / (VALUES[low + 1] - VALUES[low])
+    return low + ((mixed(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)) / 2.0**53 < share)
+
+
+def segment_number(text_bytes: int) -> int:
+    """Segments of the filter, 2 to this power."""
+    return SEGMENT_BITS + max(0, int(np.ceil(np.log2(max(1, text_bytes) / SEGMENT_BYTES))))
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - segments)).astype(np.int32)
+
+
+def short_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The keys cut to the bits that the filter knows them by: those of the segment and KEY_BITS more."""
+    cut = np.uint64(64 - segments - KEY_BITS)
+    return keys >> cut << cut
 
 
 def segment_bits(entries: int, least: int, error: float) -> int:
@@ -77,45 +96,49 @@ def _places(keys: np.ndarray, level: int, bits: int | np.ndarray) -> list[np.nda
 @dataclass
 class Filter:
     packed: np.ndarray  # bytes
+    most: int  # the highest level there is
+    segments: int
     bits: int | np.ndarray  # of each segment, 2 to this power; one number where all are alike
     starts: np.ndarray  # first bit of each segment
 
     @staticmethod
-    def of(segments: dict[int, bytes], least: int) -> Filter:
-        bits = np.full(1 << SEGMENT_BITS, max(least, 3), np.int64)
-        for k, x in segments.items():
+    def of(rows: dict[int, bytes], least: int, most: int, segments: int) -> Filter:
+        bits = np.full(1 << segments, max(least, 3), np.int64)
+        for k, x in rows.items():
             bits[k] = (len(x) * 8).bit_length() - 1
         ends = np.cumsum(1 << bits)
         packed = np.zeros(ends[-1] >> 3, np.uint8)
-        for k, x in segments.items():
+        for k, x in rows.items():
             packed[ends[k] - len(x) * 8 >> 3 : ends[k] >> 3] = np.frombuffer(x, np.uint8)
-        return Filter(packed, int(bits[0]) if (bits == bits[0]).all() else bits, (ends - (1 << bits)).astype(np.uint64))
+        return Filter(packed, most, segments, int(bits[0]) if (bits == bits[0]).all() else bits, (ends - (1 << bits)).astype(np.uint64))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level found of each key, probed level by level; 0 for none."""
-        segment = segment_of(keys)
+        segment = segment_of(keys, self.segments)
         base, bits = self.starts[segment], self.bits if np.ndim(self.bits) == 0 else self.bits[segment]
-        return levels_in(self.packed, keys, base, bits)
+        return levels_in(self.packed, short_of(keys, self.segments), base, bits, self.most)
 
 
 @dataclass
 class Levels:
     """Levels that were looked up for some keys, as Filter.levels gives them; all others have none."""
 
-    keys: np.ndarray  # ascending
+    keys: np.ndarray  # short, ascending
     found: np.ndarray
+    segments: int
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
+        keys = short_of(keys, self.segments)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.found[at], 0)
 
 
-def levels_in(packed: np.ndarray, keys: np.ndarray, base: np.ndarray | np.uint64, bits: int | np.ndarray) -> np.ndarray:
-    """The loop ends: a segment's bits are more than PROBES times its entries, so none is full."""
+def levels_in(packed: np.ndarray, keys: np.ndarray, base: np.ndarray | np.uint64, bits: int | np.ndarray, most: int) -> np.ndarray:
+    """The last of the levels 1, 2, ... up to most that a (short) key is found with, one after the other; 0 for none."""
     found, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-    while len(alive):
+    while len(alive) and level <= most:
         hit = np.ones(len(alive), bool)
         start = base[alive] if np.ndim(base) else base
         for p in _places(keys[alive], level, bits[alive] if np.ndim(bits) else bits):
@@ -130,29 +153,45 @@ def levels_in(packed: np.ndarray, keys: np.ndarray, base: np.ndarray | np.uint64
 @dataclass
 class Model:
     filter: Filter | Levels | None  # None: too large to be broadcast
+    most: int
+    segments: int
     words: np.ndarray  # keys of the frequent words, ascending
     counts: np.ndarray
     tokens: int
     distinct: int
     complete: bool  # words has all of them
-    segments: DataFrame | None = None  # segment, bits: the filter that is too large
+    table: DataFrame | None = None  # segment, bits: the filter that is too large
 
     @property
     def total(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts as the filter has them: the mean of the last level found."""
-        found = self.filter.levels(keys)
-        return np.where(found > 0, 1.5 * 2.0 ** (found - 1) - 0.5, 0.0)
+        """Counts as the filter has them."""
+        return VALUES[self.filter.levels(keys)]
+
+    def word_count(self, keys: np.ndarray) -> np.ndarray:
+        """Exact counts of frequent words, else as the filter has them."""
+        if not len(self.words):
+            return self.count(keys)
+        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
+        known = self.words[at] == keys
+        out = self.counts[at].astype(float)
+        out[~known] = self.count(keys[~known])
+        return out
 
     def log_probabilities(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P(token | the one before): Dirichlet smoothing over the one-word distribution."""
+        """log10 P(token | the one before): Dirichlet smoothing over the one-word distribution.
+
+        Over the vocabulary and one unknown word the probabilities add up to 1 where the filter's counts of the pairs
+        of a context add up to the context's own. They do so on the mean, as values are rounded up and down
+        alike; wrong answers of the filter (ERROR of the pairs not seen, at most) come on top.
+        """
         words, at = np.unique(tokens, return_inverse=True)
-        first, first_at = np.unique(before, return_inverse=True)
+        first, first_at = np.unique(np.where(before == _START, _END, before), return_inverse=True)  # as many texts start as end
         pairs, pair_at = np.unique(pair_keys(before, tokens), return_inverse=True)
-        single = ((self.count(word_keys(words)) + 0.5) / self.total)[at]
-        seen = self.count(word_keys(first))[first_at]
+        single = ((self.word_count(word_keys(words)) + 0.5) / self.total)[at]
+        seen = self.word_count(word_keys(first))[first_at]
         both = np.minimum(self.count(pairs)[pair_at], seen)
         return np.log10((both + MU * single) / (seen + MU))
 
@@ -161,8 +200,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(id_remainder(doc_id, 5) == 1, F.lit(False))
 
 
-def count_tables(train: DataFrame, text_col: str, filter_bits: int) -> DataFrame:
-    """Written rows: segment and bits of the filter, or key and n of a word (exact, over all texts)."""
+def count_tables(train: DataFrame, text_col: str, filter_bits: int, segments: int) -> DataFrame:
+    """Written rows: segment and bits of the filter with n its highest level, or key and n of a word (exact, over all texts)."""
 
     def counted(batches):
         kept: list[np.ndarray] = []
@@ -172,42 +211,40 @@ def count_tables(train: DataFrame, text_col: str, filter_bits: int) -> DataFrame
             kept.clear()
             for a in range(0, len(keys), 1 << 18):
                 k = keys[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array((k >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 18)])], names=["segment", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(segment_of(k, segments)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 18)])], names=["segment", "key", "n"])
 
         for (texts,) in pieces_of(batches, ["text"], "text", STEP):
-            tokens, before, n = token_rows(texts)
-            starts = np.full(len(n), _START)
-            kept += [word_keys(tokens), word_keys(starts), pair_keys(before, tokens)]
+            tokens, before, _ = token_rows(texts)
+            kept += [word_keys(tokens), pair_keys(before, tokens)]
             if sum(map(len, kept)) > 2 * MERGE:
                 yield from merged()
         if kept:
             yield from merged()
 
-    least, error = filter_bits - SEGMENT_BITS, ERROR
+    least, error = filter_bits - segments, ERROR
 
     def segment_row(segment, kept):
         keys, level = (np.concatenate(x) for x in zip(*kept, strict=True))
         bits = segment_bits(int(level.sum(dtype=np.int64)), least, error)
         out = np.zeros(1 << bits, bool)
         for j in range(1, int(level.max()) + 1):
-            for p in _places(keys[level >= j], j, bits):
+            for p in _places(short_of(keys[level >= j], segments), j, bits):
                 out[p] = True
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.packbits(out, bitorder="little").tobytes()])], names=["segment", "key", "n", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(level.max())], pa.int64()), pa.array([np.packbits(out, bitorder="little").tobytes()])], names=["segment", "key", "n", "bits"])
 
     def built(batches):
         at, kept = None, []
-        start = word_keys(np.array([_START]))[0]
         for batch in batches:
             segment, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             keys = batch.column(1).to_numpy().view(np.uint64)
-            level = level_of(n).astype(np.int8)
+            level = level_of(keys, n).astype(np.int8)
             for own in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(segment)) + 1) if len(keys) else []:
                 if kept and segment[own[0]] != at:
                     yield segment_row(at, kept)
                     kept = []
                 at = int(segment[own[0]])
                 kept.append((keys[own], level[own]))
-            word = (keys & np.uint64(1) == 0) & (keys != start)
+            word = keys & np.uint64(1) == 0
             yield pa.RecordBatch.from_arrays([pa.nulls(int(word.sum()), pa.int32()), pa.array(keys[word].view(np.int64)), pa.array(n[word]), pa.nulls(int(word.sum()), pa.binary())], names=["segment", "key", "n", "bits"])
         if kept:
             yield segment_row(at, kept)
@@ -220,110 +257,81 @@ def count_tables(train: DataFrame, text_col: str, filter_bits: int) -> DataFrame
 
 def fit(train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
     """The model, and the exact counts (key, n) of the words that aren't among its frequent ones."""
-    table = count_tables(train, text_col, filter_bits)
-    segments, least = table.filter("bits is not null").select("segment", "bits"), filter_bits - SEGMENT_BITS
-    got = segments.agg(F.count("*").alias("n"), F.sum(F.length("bits")).alias("bytes")).first()
-    whole = 8 * (got.bytes or 0) + (((1 << SEGMENT_BITS) - got.n) << max(least, 3))
-    held = Filter.of({r.segment: bytes(r.bits) for r in segments.toLocalIterator()}, least) if whole <= 1 << FILTER_BITS else None
+    text_bytes = train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    segments = segment_number(text_bytes)
+    table = count_tables(train, text_col, filter_bits, segments)
+    rows, least = table.filter("bits is not null").select("segment", "n", "bits"), filter_bits - segments
+    got = rows.agg(F.count("*").alias("rows"), F.sum(F.length("bits")).alias("bytes"), F.max("n").alias("most")).first()
+    most, whole = got.most or 0, 8 * (got.bytes or 0) + (((1 << segments) - got.rows) << max(least, 3))
+    held = Filter.of({r.segment: bytes(r.bits) for r in rows.toLocalIterator()}, least, most, segments) if whole <= 1 << FILTER_BITS else None
     words = table.filter("key is not null").select("key", "n")
-    # How many words have each count: as the counts add up to the tokens, few different ones.
-    spread = sorted((r.n, r.words) for r in words.groupBy("n").agg(F.count("*").alias("words")).collect())
-    tokens, distinct = sum(n * k for n, k in spread), sum(k for _, k in spread)
+    # How many words have counts of each size: few rows, whatever the text.
+    sizes = words.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()
+    tokens, distinct = sum(r.tokens for r in sizes), sum(r.words for r in sizes)
     least, taken = None, 0
-    for n, k in reversed(spread):
-        if taken + k > FREQUENT:
+    for r in sorted(sizes, key=lambda r: -r["size"]):
+        if taken + r.words > FREQUENT:
             break
-        least, taken = n, taken + k
+        least, taken = 1 << r["size"], taken + r.words
     frequent = words.filter(F.col("n") >= least) if least is not None else words.limit(0)
     got = frequent.toArrow()
     keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(held, keys[order], got["n"].to_numpy()[order], tokens, distinct, taken == distinct, None if held else segments)
+    model = Model(held, most, segments, keys[order], got["n"].to_numpy()[order], tokens, distinct, taken == distinct, None if held else rows)
     return model, words.filter(F.col("n") < least) if least is not None else words
 
 
-def _groups(batches):
-    """Tables of the consecutive rows with one value in the first column."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        first = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if rest and rest[-1].column(0)[0].as_py() != first[a]:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(batch.slice(a, b - a))
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _with_levels(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """Where the filter is too large to be broadcast: rows in packets, each with the levels of all its keys.
-
-    Sorted rows packet, rid, doc_id, held_out, text (documents) and packet, key, level (keys that are in the filter). The
-    keys of a packet go to their segments, one after the other in a task, and come back with what was found there.
-    """
-    step, most = min(STEP, PACKET), PACKET
+def _packet_keys(texts: list[str | None], segments: int) -> np.ndarray:
+    """The short keys of all words and pairs of the texts, ascending, each once."""
+    kept = []
+    for (some,) in pieces_of([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])], ["t"], "t", STEP):
+        tokens, before, _ = token_rows(some)
+        kept += [np.unique(short_of(x, segments)) for x in (word_keys(tokens), pair_keys(before, tokens))]
+    return np.unique(np.concatenate(kept))
 
-    def packed(batches):
-        base, row, packet, used = TaskContext.get().partitionId() << 33, 0, 0, 0
-        for ids, held, texts in pieces_of(batches, ["doc_id", "held_out", "text"], "text", step):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), base + packet)), pa.array(base + row + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.string())], names=["packet", "rid", "doc_id", "held_out", "text"])
-            row, used = row + len(ids), used + sum(len(t or "") for t in texts) + len(ids)
-            if used >= most:
-                packet, used = packet + 1, 0
 
-    packets = saved(rows.mapInArrow(packed, "packet long, rid long, doc_id long, held_out boolean, text string"), "packets")
+def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """Where the filter is too large to be broadcast: packet, segment, levels, a byte for each of the packet's short keys in the segment.
 
-    def asked(batches):
-        kept: list[np.ndarray] = []
+    rows: packet, text. All keys of a packet that fall into one segment make one row; they go to the segment's bits.
+    """
+    segments, most = model.segments, model.most
+    shift = np.uint64(64 - segments - KEY_BITS)
 
-        def merged(packet):
-            keys = np.unique(np.concatenate(kept))
-            kept.clear()
-            for a in range(0, len(keys), 1 << 18):
-                k = keys[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(segment_of(k)), pa.nulls(len(k), pa.binary()), pa.array(np.full(len(k), packet)), pa.array(k.view(np.int64))], names=["segment", "bits", "packet", "key"])
-
-        last = None
-        for packet, texts in pieces_of(batches, ["packet", "text"], "text", STEP):
-            for p in sorted(set(packet)):  # a piece can span two packets
-                if kept and p != last:
-                    yield from merged(last)
-                last = p
-                tokens, before, _ = token_rows([t for t, q in zip(texts, packet, strict=True) if q == p])
-                kept += [np.unique(word_keys(tokens)), np.unique(pair_keys(before, tokens)), word_keys(np.array([_START]))]
-        if kept:
-            yield from merged(last)
+    def asked(table: pa.Table) -> pa.Table:
+        keys = _packet_keys(table["text"].to_pylist(), segments)
+        own = segment_of(keys, segments)
+        cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+        data = (keys >> shift).astype(np.uint32)
+        found = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(data)])
+        packet = np.full(len(cuts) - 1, table["packet"][0].as_py(), np.int64)
+        return pa.Table.from_arrays([pa.array(own[cuts[:-1]]), pa.nulls(len(packet), pa.binary()), pa.array(packet), found], names=["segment", "bits", "packet", "keys"])
 
-    lookups = packets.select("packet", "text").mapInArrow(asked, "segment int, bits binary, packet long, key long")
-    both = segments.select("segment", "bits", F.lit(None).cast("long").alias("packet"), F.lit(None).cast("long").alias("key")).unionAll(lookups)
+    lookups = rows.groupBy("packet").applyInArrow(asked, "segment int, bits binary, packet long, keys binary")
+    both = model.table.select("segment", "bits", F.lit(None).cast("long").alias("packet"), F.lit(None).cast("binary").alias("keys")).unionAll(lookups)
 
     def answered(batches):
         segment, packed, bits = None, None, 0
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b and own[a] != segment:
-                    segment, packed = own[a], None
-                if a < b and batch.column(1)[a].is_valid:  # a segment's bits come before the keys
-                    packed = np.frombuffer(batch.column(1)[a].as_buffer(), np.uint8).copy()
-                    bits, a = (len(packed) * 8).bit_length() - 1, a + 1
-                if packed is None or a == b:
+            levels = []
+            for own, filled, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3), strict=True):
+                if own != segment:
+                    segment, packed = own, None
+                if filled.is_valid:  # a segment's bits come before the keys
+                    packed = np.frombuffer(filled.as_buffer(), np.uint8).copy()
+                    bits = (len(packed) * 8).bit_length() - 1
+                    levels.append(None)
                     continue
-                keys = batch.column(3).slice(a, b - a).to_numpy().view(np.uint64)
-                found = levels_in(packed, keys, np.uint64(0), bits)
-                at = np.flatnonzero(found)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a).take(pa.array(at)), pa.array(keys[at].view(np.int64)), pa.array(found[at].astype(np.int32))], names=["packet", "key", "level"])
+                short = np.frombuffer(keys.as_buffer(), np.uint32).astype(np.uint64)
+                short = short << shift | np.uint64(segment) << np.uint64(64 - segments)
+                found = np.zeros(len(short), np.uint8) if packed is None else levels_in(packed, short, np.uint64(0), bits, most).astype(np.uint8)
+                levels.append(found.tobytes())
+            levels = pa.array(levels, pa.binary())
+            at = pa.array(np.flatnonzero(levels.is_valid().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), levels.take(at)], names=["packet", "segment", "levels"])
 
-    found = both.repartition("segment").sortWithinPartitions("segment", F.col("packet").asc_nulls_first()).mapInArrow(answered, "packet long, key long, level int")
-    none = {k: F.lit(None).cast(t).alias(k) for k, t in (("rid", "long"), ("doc_id", "long"), ("held_out", "boolean"), ("text", "string"), ("key", "long"), ("level", "int"))}
-    own = packets.select("packet", "rid", "doc_id", "held_out", "text", none["key"], none["level"])
-    back = found.select("packet", none["rid"], none["doc_id"], none["held_out"], none["text"], "key", "level")
-    return own.unionAll(back).repartition("packet").sortWithinPartitions("packet", F.col("rid").asc_nulls_first())
+    dealt = both.repartition("segment").sortWithinPartitions("segment", F.col("packet").asc_nulls_first())
+    return dealt.mapInArrow(answered, "packet long, segment int, levels binary")
 
 
 def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,8 +343,8 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_i
     learned, every token has base log10 1 and score log10 1. Other columns are left out.
     """
     model, others = fitted
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, segments=None))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, table=None))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "known", "score", "key", "times"]
     kinds = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, score double, key long, times long"
 
@@ -358,23 +366,26 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(rid[both // len(words)]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(words[both % len(words)].view(np.int64)), pa.array(times)], names=names)
 
     def scored(batches):
-        base, row = TaskContext.get().partitionId() << 33, 0
-        for ids, held, texts in pieces_of(batches, ["doc_id", "held_out", "text"], "text", STEP):
-            yield from scored_rows(shared.value, base + row + np.arange(len(texts)), ids, held, texts)
-            row += len(texts)
-
-    def scored_packets(batches):
-        for group in _groups(batches):
-            looked = group.filter(pc.is_null(group["rid"]))
-            keys, order = np.unique(looked["key"].to_numpy().view(np.uint64), return_index=True)
-            m = replace(shared.value, filter=Levels(keys, looked["level"].to_numpy()[order].astype(np.int64)))
-            own = group.filter(pc.is_valid(group["rid"])).combine_chunks()
-            rid, at = own["rid"].to_numpy(), 0
-            for ids, held, texts in pieces_of(own.to_batches(), ["doc_id", "held_out", "text"], "text", STEP):
-                yield from scored_rows(m, rid[at : at + len(texts)], ids, held, texts)
-                at += len(texts)
-
-    made = rows.mapInArrow(scored, kinds) if model.filter else _with_levels(rows, model.segments).mapInArrow(scored_packets, kinds)
+        for rid, ids, held, texts in pieces_of(batches, ["rid", "doc_id", "held_out", "text"], "text", STEP):
+            yield from scored_rows(shared.value, np.array(rid), ids, held, texts)
+
+    def scored_packet(own: pa.Table, looked: pa.Table) -> pa.Table:
+        m, texts = shared.value, own["text"].to_pylist()
+        keys = _packet_keys(texts, m.segments)
+        found = np.frombuffer(b"".join(looked.sort_by("segment")["levels"].to_pylist()), np.uint8)
+        if len(found) != len(keys):
+            raise RuntimeError("the documents were read in another order the second time")
+        m = replace(m, filter=Levels(keys, found.astype(np.int64), m.segments))
+        parts = pieces_of(own.combine_chunks().to_batches(), ["rid", "doc_id", "held_out", "text"], "text", STEP)
+        return pa.Table.from_batches([x for rid, ids, held, some in parts for x in scored_rows(m, np.array(rid), ids, held, some)])
+
+    if model.filter:
+        made = rows.mapInArrow(scored, kinds)
+    else:
+        packets = max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PACKET))
+        # By a hash of the row's number, so that copies don't come together.
+        rows = rows.withColumn("packet", F.pmod(F.xxhash64("rid"), F.lit(packets)))
+        made = rows.groupBy("packet").cogroup(_looked_up(rows, model).groupBy("packet")).applyInArrow(scored_packet, kinds)
     done = saved(made, "scores")
     rest = done.filter("key is not null").select("rid", "key", "times").join(others, "key")
     rest = rest.groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("sum"))
