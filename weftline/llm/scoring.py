@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import id_remainder, mixed, pieces_of, saved, word_hashes
 
-#: The filter has 2**FILTER_BITS bits (64 MB) at least, and is broadcast if it has no more.
+#: The filter has 2**FILTER_BITS bits (8 MB) at least, and is broadcast if it has no more: every worker holds it.
 #: A segment with more entries is made larger, so that a probe's share of wrong answers stays at ERROR at most.
-FILTER_BITS, PROBES, ERROR = 29, 3, 0.02
+FILTER_BITS, PROBES, ERROR = 26, 3, 0.02
 #: Segments are 2**SEGMENT_BITS for up to SEGMENT_BYTES of training text, and twice as many for each doubling of it.
 SEGMENT_BITS, SEGMENT_BYTES = 12, 4 << 30
 #: Bits of a key within its segment.
@@ -184,16 +184,20 @@ class Model:
         """log10 P(token | the one before): Dirichlet smoothing over the one-word distribution.
 
         Over the vocabulary and one unknown word the probabilities add up to 1 where the filter's counts of the pairs
-        of a context add up to the context's own. They do so on the mean, as values are rounded up and down
-        alike; wrong answers of the filter (ERROR of the pairs not seen, at most) come on top.
+        of a context add up to the context's own. They do so to within a tenth: values are rounded up and down alike, by
+        an eighth at most. Wrong answers of the filter (ERROR of the pairs not seen, at most) come on top.
         """
-        words, at = np.unique(tokens, return_inverse=True)
-        first, first_at = np.unique(np.where(before == _START, _END, before), return_inverse=True)  # as many texts start as end
-        pairs, pair_at = np.unique(pair_keys(before, tokens), return_inverse=True)
-        single = ((self.word_count(word_keys(words)) + 0.5) / self.total)[at]
-        seen = self.word_count(word_keys(first))[first_at]
-        both = np.minimum(self.count(pairs)[pair_at], seen)
-        return np.log10((both + MU * single) / (seen + MU))
+        context = np.where(before == _START, _END, before)  # as many texts start as end
+        words, at = np.unique(word_keys(np.concatenate([tokens, context])), return_inverse=True)
+        return self.log_of(words, at[: len(tokens)], at[len(tokens) :], pair_keys(before, tokens))
+
+    def log_of(self, words: np.ndarray, at: np.ndarray, before_at: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log_probabilities() by keys: at and before_at are places in words (ascending keys), both the keys of the pairs."""
+        counts = self.word_count(words)
+        pairs, pair_at = np.unique(both, return_inverse=True)
+        seen = counts[before_at]
+        together = np.minimum(self.count(pairs)[pair_at], seen)
+        return np.log10((together + MU * ((counts + 0.5) / self.total)[at]) / (seen + MU))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -313,22 +317,22 @@ def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
     def answered(batches):
         segment, packed, bits = None, None, 0
         for batch in batches:
-            levels = []
-            for own, filled, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3), strict=True):
-                if own != segment:
-                    segment, packed = own, None
-                if filled.is_valid:  # a segment's bits come before the keys
-                    packed = np.frombuffer(filled.as_buffer(), np.uint8).copy()
-                    bits = (len(packed) * 8).bit_length() - 1
-                    levels.append(None)
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and own[a] != segment:
+                    segment, packed = own[a], None
+                if a < b and batch.column(1)[a].is_valid:  # a segment's bits come before the keys
+                    packed = np.frombuffer(batch.column(1)[a].as_buffer(), np.uint8).copy()
+                    bits, a = (len(packed) * 8).bit_length() - 1, a + 1
+                if a == b:
                     continue
-                short = np.frombuffer(keys.as_buffer(), np.uint32).astype(np.uint64)
-                short = short << shift | np.uint64(segment) << np.uint64(64 - segments)
+                keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(3).slice(a, b - a)]
+                short = np.concatenate(keys).astype(np.uint64) << shift | np.uint64(segment) << np.uint64(64 - segments)
                 found = np.zeros(len(short), np.uint8) if packed is None else levels_in(packed, short, np.uint64(0), bits, most).astype(np.uint8)
-                levels.append(found.tobytes())
-            levels = pa.array(levels, pa.binary())
-            at = pa.array(np.flatnonzero(levels.is_valid().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), levels.take(at)], names=["packet", "segment", "levels"])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                levels = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), levels], names=["packet", "segment", "levels"])
 
     dealt = both.repartition("segment").sortWithinPartitions("segment", F.col("packet").asc_nulls_first())
     return dealt.mapInArrow(answered, "packet long, segment int, levels binary")
@@ -351,8 +355,10 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_i
     def scored_rows(m, rid, ids, held, texts):
         tokens, before, n = token_rows(texts)
         begins = np.cumsum(n) - n
-        total = np.add.reduceat(m.log_probabilities(tokens, before), begins)
         words, at = np.unique(word_keys(tokens), return_inverse=True)
+        before_at = np.roll(at, 1)
+        before_at[begins] = at[-1]  # the end's place, for as many texts start as end
+        total = np.add.reduceat(m.log_of(words, at, before_at, pair_keys(before, tokens)), begins)
         place = np.minimum(np.searchsorted(m.words, words), max(0, len(m.words) - 1))
         common = m.words[place] == words if len(m.words) else np.zeros(len(words), bool)
         value = np.where(common, np.log10((m.counts[place] if len(m.words) else 0) + 0.5), 0.0)
