@@ -27,7 +27,7 @@ FREQUENT = 1_000_000
 MERGE = 4_000_000
 STEP = 2_000_000
 #: Bytes of text whose keys are looked up together where the filter is too large to be broadcast.
-PACKET = 16_000_000
+PACKET = 10_000_000
 
 _START, _END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"  ", b" "))  # no words
 
@@ -189,12 +189,11 @@ class Model:
         """
         context = np.where(before == _START, _END, before)  # as many texts start as end
         words, at = np.unique(word_keys(np.concatenate([tokens, context])), return_inverse=True)
-        return self.log_of(words, at[: len(tokens)], at[len(tokens) :], pair_keys(before, tokens))
+        return self.log_of(words, at[: len(tokens)], at[len(tokens) :], *np.unique(pair_keys(before, tokens), return_inverse=True))
 
-    def log_of(self, words: np.ndarray, at: np.ndarray, before_at: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """log_probabilities() by keys: at and before_at are places in words (ascending keys), both the keys of the pairs."""
+    def log_of(self, words: np.ndarray, at: np.ndarray, before_at: np.ndarray, pairs: np.ndarray, pair_at: np.ndarray) -> np.ndarray:
+        """log_probabilities() by ascending keys, each once, and the places of tokens, those before and pairs in them."""
         counts = self.word_count(words)
-        pairs, pair_at = np.unique(both, return_inverse=True)
         seen = counts[before_at]
         together = np.minimum(self.count(pairs)[pair_at], seen)
         return np.log10((together + MU * ((counts + 0.5) / self.total)[at]) / (seen + MU))
@@ -204,6 +203,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(id_remainder(doc_id, 5) == 1, F.lit(False))
 
 
+def _slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary column of the slices of data between the cuts."""
+    own = np.ascontiguousarray(data[cuts[0] : cuts[-1]])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(((cuts - cuts[0]) * own.itemsize).astype(np.int32)), pa.py_buffer(own)])
+
+
+def _groups(batches):
+    """Tables of the consecutive rows with one value in the first column."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if rest and rest[-1].column(0)[0].as_py() != first[a]:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            rest.append(batch.slice(a, b - a))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def count_tables(train: DataFrame, text_col: str, filter_bits: int, segments: int) -> DataFrame:
     """Written rows: segment and bits of the filter with n its highest level, or key and n of a word (exact, over all texts)."""
 
@@ -213,9 +235,12 @@ def count_tables(train: DataFrame, text_col: str, filter_bits: int, segments: in
         def merged():
             keys, n = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            for a in range(0, len(keys), 1 << 18):
-                k = keys[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(segment_of(k, segments)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 18)])], names=["segment", "key", "n"])
+            own = segment_of(keys, segments)
+            cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+            for a in range(0, len(cuts) - 1, 512):
+                at = cuts[a : a + 513]
+                lists = [_slices(x, at) for x in (keys, n.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at[:-1]]), *lists], names=["segment", "keys", "n"])
 
         for (texts,) in pieces_of(batches, ["text"], "text", STEP):
             tokens, before, _ = token_rows(texts)
@@ -227,8 +252,7 @@ def count_tables(train: DataFrame, text_col: str, filter_bits: int, segments: in
 
     least, error = filter_bits - segments, ERROR
 
-    def segment_row(segment, kept):
-        keys, level = (np.concatenate(x) for x in zip(*kept, strict=True))
+    def segment_row(segment, keys, level):
         bits = segment_bits(int(level.sum(dtype=np.int64)), least, error)
         out = np.zeros(1 << bits, bool)
         for j in range(1, int(level.max()) + 1):
@@ -237,26 +261,19 @@ def count_tables(train: DataFrame, text_col: str, filter_bits: int, segments: in
         return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(level.max())], pa.int64()), pa.array([np.packbits(out, bitorder="little").tobytes()])], names=["segment", "key", "n", "bits"])
 
     def built(batches):
-        at, kept = None, []
-        for batch in batches:
-            segment, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            keys = batch.column(1).to_numpy().view(np.uint64)
-            level = level_of(keys, n).astype(np.int8)
-            for own in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(segment)) + 1) if len(keys) else []:
-                if kept and segment[own[0]] != at:
-                    yield segment_row(at, kept)
-                    kept = []
-                at = int(segment[own[0]])
-                kept.append((keys[own], level[own]))
+        for group in _groups(batches):
+            keys, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group[c]]) for c, t in (("keys", np.uint64), ("n", np.uint32)))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=keys[0] - np.uint64(1)))
+            keys, n = keys[first], np.add.reduceat(n[order], first, dtype=np.int64)
+            yield segment_row(group["segment"][0].as_py(), keys, level_of(keys, n))
             word = keys & np.uint64(1) == 0
             yield pa.RecordBatch.from_arrays([pa.nulls(int(word.sum()), pa.int32()), pa.array(keys[word].view(np.int64)), pa.array(n[word]), pa.nulls(int(word.sum()), pa.binary())], names=["segment", "key", "n", "bits"])
-        if kept:
-            yield segment_row(at, kept)
 
-    rows = train.select(F.col(text_col).alias("text")).mapInArrow(counted, "segment int, key long, n long")
-    # Dealt by segment, so that one task has all of a segment; the sums by key then need no other exchange.
-    sums = rows.repartition("segment").groupBy("segment", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("segment")
-    return saved(sums.mapInArrow(built, "segment int, key long, n long, bits binary"), "ngrams")
+    # What a task has merged of a segment is one row. Dealt by segment, so that one task has all of it.
+    rows = train.select(F.col(text_col).alias("text")).mapInArrow(counted, "segment int, keys binary, n binary")
+    return saved(rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(built, "segment int, key long, n long, bits binary"), "ngrams")
 
 
 def fit(train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
@@ -285,15 +302,6 @@ def fit(train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS
     return model, words.filter(F.col("n") < least) if least is not None else words
 
 
-def _packet_keys(texts: list[str | None], segments: int) -> np.ndarray:
-    """The short keys of all words and pairs of the texts, ascending, each once."""
-    kept = []
-    for (some,) in pieces_of([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])], ["t"], "t", STEP):
-        tokens, before, _ = token_rows(some)
-        kept += [np.unique(short_of(x, segments)) for x in (word_keys(tokens), pair_keys(before, tokens))]
-    return np.unique(np.concatenate(kept))
-
-
 def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
     """Where the filter is too large to be broadcast: packet, segment, levels, a byte for each of the packet's short keys in the segment.
 
@@ -303,11 +311,12 @@ def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
     shift = np.uint64(64 - segments - KEY_BITS)
 
     def asked(table: pa.Table) -> pa.Table:
-        keys = _packet_keys(table["text"].to_pylist(), segments)
+        tokens, before, _ = token_rows(table["text"].to_pylist())
+        keys = np.unique(short_of(np.concatenate([word_keys(tokens), pair_keys(before, tokens)]), segments))
         own = segment_of(keys, segments)
         cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
         data = (keys >> shift).astype(np.uint32)
-        found = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(data)])
+        found = _slices(data, cuts)
         packet = np.full(len(cuts) - 1, table["packet"][0].as_py(), np.int64)
         return pa.Table.from_arrays([pa.array(own[cuts[:-1]]), pa.nulls(len(packet), pa.binary()), pa.array(packet), found], names=["segment", "bits", "packet", "keys"])
 
@@ -352,13 +361,19 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_i
     names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "known", "score", "key", "times"]
     kinds = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, score double, key long, times long"
 
-    def scored_rows(m, rid, ids, held, texts):
+    def scored_rows(m, rid, ids, held, texts, looked=None):
         tokens, before, n = token_rows(texts)
         begins = np.cumsum(n) - n
         words, at = np.unique(word_keys(tokens), return_inverse=True)
         before_at = np.roll(at, 1)
         before_at[begins] = at[-1]  # the end's place, for as many texts start as end
-        total = np.add.reduceat(m.log_of(words, at, before_at, pair_keys(before, tokens)), begins)
+        pairs, pair_at = np.unique(pair_keys(before, tokens), return_inverse=True)
+        if looked is not None:
+            keys = np.unique(short_of(np.concatenate([words, pairs]), m.segments))
+            if len(looked) != len(keys):
+                raise RuntimeError("the documents were read in another order the second time")
+            m = replace(m, filter=Levels(keys, looked, m.segments))
+        total = np.add.reduceat(m.log_of(words, at, before_at, pairs, pair_at), begins)
         place = np.minimum(np.searchsorted(m.words, words), max(0, len(m.words) - 1))
         common = m.words[place] == words if len(m.words) else np.zeros(len(words), bool)
         value = np.where(common, np.log10((m.counts[place] if len(m.words) else 0) + 0.5), 0.0)
@@ -376,14 +391,9 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame], id_col: str = "doc_i
             yield from scored_rows(shared.value, np.array(rid), ids, held, texts)
 
     def scored_packet(own: pa.Table, looked: pa.Table) -> pa.Table:
-        m, texts = shared.value, own["text"].to_pylist()
-        keys = _packet_keys(texts, m.segments)
         found = np.frombuffer(b"".join(looked.sort_by("segment")["levels"].to_pylist()), np.uint8)
-        if len(found) != len(keys):
-            raise RuntimeError("the documents were read in another order the second time")
-        m = replace(m, filter=Levels(keys, found.astype(np.int64), m.segments))
-        parts = pieces_of(own.combine_chunks().to_batches(), ["rid", "doc_id", "held_out", "text"], "text", STEP)
-        return pa.Table.from_batches([x for rid, ids, held, some in parts for x in scored_rows(m, np.array(rid), ids, held, some)])
+        columns = (own[c].to_pylist() for c in ("doc_id", "held_out", "text"))
+        return pa.Table.from_batches(list(scored_rows(shared.value, own["rid"].to_numpy(), *columns, found)))
 
     if model.filter:
         made = rows.mapInArrow(scored, kinds)
