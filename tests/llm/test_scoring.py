@@ -118,9 +118,10 @@ def test_levels_are_right_on_the_mean():
         assert got.mean() == pytest.approx(n, rel=0.01) and len(set(got)) <= 2
 
 
-def test_probabilities_add_up_to_one(spark):
+def test_probabilities_add_up_to_one(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "FILTER_BITS", 28)
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model, _ = scoring.fit(df, filter_bits=26)
+    model, _ = scoring.fit(df, filter_bits=28)
     words = sorted({w for r in df.select("text").collect() for w in (r.text or "").encode().lower().split()})
     vocab = np.array([*(scoring.word_hashes(w)[0] for w in words), scoring._END, np.uint64(5)], np.uint64)  # 5: a word not seen
     assert len(words) + 1 == model.distinct

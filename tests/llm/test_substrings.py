@@ -21,8 +21,7 @@ def brute_chunks(text):
         if h >> (16 - substrings.CUT_BITS) == 0 and k + 1 < len(raw) and raw[k + 1] & 0xC0 != 0x80:
             out.append((begin, k + 1))
             begin = k + 1
-    padded = b"\0" * 16 + raw
-    return [(raw[a:b].decode(), xxhash.xxh3_64_intdigest(padded[a : b + 16])) for a, b in [*out, (begin, len(raw))]] if raw else []
+    return [(raw[a:b].decode(), xxhash.xxh3_64_intdigest(raw[a:b])) for a, b in [*out, (begin, len(raw))]] if raw else []
 
 
 @settings(max_examples=150, deadline=None)
@@ -72,6 +71,8 @@ def test_cut_texts_keep_one_copy(spark, planted):
     docs, passages = planted
     docs = [d for d in docs if d[0] not in (None, 903)]
     before = dict(docs)
+    twins = substrings.without_repeats(frame(spark, [(None, "x " + passages[0]), (None, passages[0]), (5, "y " + passages[0]), (5, "short")])).collect()
+    assert sorted(len(r.text) > 0.9 * len(passages[0]) for r in twins) == [False, False, False, True]
     after = {r.doc_id: r.text for r in substrings.without_repeats(frame(spark, docs)).collect()}
     assert set(after) == set(before)
     for p in passages:
@@ -84,6 +85,49 @@ def test_cut_texts_keep_one_copy(spark, planted):
     assert after[902] == before[902] and after[900] is None
 
 
+def test_pieces_of_many_documents_are_no_repeat(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join("".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(2, 9))) for _ in range(120))) for k in range(12)]
+    mosaic = " ".join(" ".join(t.split()[40:52]) for _, t in docs)
+    assert substrings.repeats(frame(spark, [*docs, (99, mosaic)])).count() == 0
+
+
+def brute_repeats(docs, least):
+    """Runs of windows of other documents, by dictionaries."""
+    own, where = [], {}
+    for k, (_, t) in enumerate(docs):
+        cs, at, out = [c for c, _ in brute_chunks(t or "")], 0, []
+        for c in cs:
+            out.append((at, at + len(c)))
+            at += len(c)
+        size = min(substrings.WINDOW, len(cs))
+        own.append([(n, tuple(cs[n - size + 1 : n + 1]), out[n - size + 1][0], out[n][1]) for n in range(size - 1, len(cs)) if size])
+        for n, w, *_ in own[-1]:
+            where.setdefault(w, []).append((docs[k][0] is None, docs[k][0] or 0, k, n))
+    got = []
+    for k, (d, t) in enumerate(docs):
+        runs, last = [], None
+        for n, w, a, b in own[k]:
+            if len({x[2] for x in where[w]}) > 1:
+                if last != n - 1:
+                    runs.append([a, b, set()])
+                runs[-1][1] = b
+                runs[-1][2].add(min(where[w])[:2])
+                last = n
+        for a, b, firsts in runs:
+            begun = [j for j in range(a, b) if not t[j].isspace() and (j == 0 or t[j - 1].isspace())]
+            if len(begun) >= least:
+                got.append((d, a, b, len(begun), min((x[1] for x in firsts if not x[0]), default=None)))
+    return got
+
+
+def test_runs_equal_brute_force(spark, planted):
+    docs = [(d, t) for d, t in planted[0] if t is None or "\0" not in t]
+    got = substrings.repeats(frame(spark, docs)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:4])
+    assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(brute_repeats(docs, substrings.LEAST_WORDS), key=key)
+
+
 def test_empty_table(spark, planted):
     assert substrings.repeats(frame(spark, planted[0]).limit(0)).count() == 0
 

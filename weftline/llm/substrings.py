@@ -13,9 +13,12 @@ from weftline.llm.common import bitmap_of, in_bitmap, mixed, pieces_of, saved
 
 #: A chunk ends where the top CUT_BITS bits of the hash of the last 16 bytes are 0: every 16 bytes on the mean.
 CUT_BITS = 4
-#: Words that a run of repeated chunks has at least. A passage loses its bytes up to the first cut that other text
-#: doesn't decide, and after the last: 8 words on the mean. So passages over 50 words are found all but surely (a
-#: passage of 51 words is missed with a chance of 1 in 150), and repeats shorter than this never count.
+#: Chunks in a row whose digests make one window. Windows are what is looked for elsewhere: two in a row share all chunks
+#: but one, so a run of them follows its source, and doesn't go from piece to piece of many sources.
+WINDOW = 4
+#: Words that a run of repeated windows has at least. A passage loses its bytes up to the first cut that other text
+#: doesn't decide, and after the last: 8 words on the mean. So passages over 50 words are found all but surely (of
+#: 51 words, with a chance of 1 in 300 not; where words have 4 bytes, 1 in 13), and repeats shorter than this never count.
 LEAST_WORDS = 30
 #: Bits of the filter over digests that is broadcast. A full one lets more rows pass, but no result changes.
 FILTER_BITS = 26
@@ -39,8 +42,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each chunk of the texts: text, number in it, first and end character, words begun, 64-bit digest.
 
-    The digest takes in the 16 bytes before the chunk, which its first cut depends on anyway, so that chunks
-    of a few bytes don't count as repeated wherever they stand. Cuts keep to whole characters. Each text is hashed after 16 zero bytes, so other texts don't matter.
+    Cuts keep to whole characters. Each text is hashed after 16 zero bytes, so other texts don't matter.
     """
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     joined = _PAD + _PAD.join(raw) + _PAD
@@ -61,69 +63,92 @@ def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     chars = np.concatenate([[0], np.cumsum(whole)])
     space = _SPACE[data] | (data == 0)
     words = np.concatenate([[0, 0], np.cumsum(~space[1:] & space[:-1])])
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(joined[a - 16 : b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
     base = chars[begins[text]]
     return text, number, chars[start] - base, chars[stop] - base, words[stop] - words[start], digest
 
 
-def repeated_digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """h: digests that chunks of two documents have; counted over all. Each task merges its own first."""
+def windows(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Of each run of WINDOW chunks: text, number of its last chunk, first character, that of the last chunk, end, words begun, those of the last chunk, hash. A text of fewer chunks is one window."""
+    text, number, start, stop, words, digest = chunks(texts)
+    ends = np.append(number[1:] == 0, True)[: len(number)]
+    last = np.flatnonzero((number >= WINDOW - 1) | ends)
+    first = last - np.minimum(number[last], WINDOW - 1)
+    h = np.zeros(len(last), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(WINDOW):
+            h = np.where(first + j <= last, mixed(h * np.uint64(0x9E3779B97F4A7C15) + digest[np.minimum(first + j, last)] + np.uint64(1)), h)
+    total = np.concatenate([[0], np.cumsum(words)])
+    return text[last], number[last], start[first], start[last], stop[last], total[last + 1] - total[first], words[last], h
+
+
+def repeated_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """h: windows that two documents have; counted over all. Each task merges its own first."""
 
     def found(batches):
         base, row = TaskContext.get().partitionId() << 33, 0
         for (texts,) in pieces_of(batches, ["text"], "text", STEP):
-            text, *_, digest = chunks(texts)
-            order = np.argsort(digest, kind="stable")  # so that rows of a digest stay in order
-            h, first = np.unique(digest[order], return_index=True)
+            text, *_, h = windows(texts)
+            order = np.argsort(h, kind="stable")  # so that rows of a window stay in order
+            h, first = np.unique(h[order], return_index=True)
             last = np.append(first[1:], len(order)) - 1
             rows = base + row + text[order] if len(order) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rows[first]), pa.array(rows[last])], names=["h", "low", "high"])
             row += len(texts)
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(found, "h long, low long, high long")
-    return saved(rows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h"), "digests")
+    return saved(rows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h"), "hashes")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks that two documents have: rid (numbers the rows read), doc_id, n, start, stop, words, h, run (of neighbours in a document), first_doc, first boolean."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated_digests(docs, text_col), FILTER_BITS))
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Windows that two documents have: rid (numbers the rows read), doc_id, run (of neighbours in a document), start, stop, words, first_doc, first boolean.
+
+    start and words are those of what the window adds to its run: all of it for a run's first, else its last chunk.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated_hashes(docs, text_col), FILTER_BITS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def kept(batches):
         base, row = TaskContext.get().partitionId() << 33, 0
         for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
-            text, number, start, stop, words, digest = chunks(texts)
-            ok = np.flatnonzero(in_bitmap(digest, bits.value, FILTER_BITS))
+            text, *places, h = windows(texts)
+            ok = np.flatnonzero(in_bitmap(h, bits.value, FILTER_BITS))
             doc = pa.array(ids, pa.int64()).take(pa.array(text[ok]))
-            yield pa.RecordBatch.from_arrays([pa.array(base + row + text[ok]), doc, *(pa.array(x[ok].astype(np.int32)) for x in (number, start, stop, words)), pa.array(digest[ok].view(np.int64))], names=["rid", "doc_id", "n", "start", "stop", "words", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(base + row + text[ok]), doc, *(pa.array(x[ok].astype(np.int32)) for x in places), pa.array(h[ok].view(np.int64))], names=["rid", "doc_id", "n", "start", "own_start", "stop", "words", "own_words", "h"])
             row += len(texts)
 
-    some = saved(rows.mapInArrow(kept, "rid long, doc_id long, n int, start int, stop int, words int, h long"), "chunks")
+    some = saved(rows.mapInArrow(kept, "rid long, doc_id long, n int, start int, own_start int, stop int, words int, own_words int, h long"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n")
     firsts = some.groupBy("h").agg(F.min(place).alias("at"), F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
     firsts = saved(firsts.select("h", F.col("at.doc_id").alias("first_doc"), F.col("at.rid").alias("first_rid"), F.col("at.n").alias("first_n")), "firsts")
-    both = some.join(firsts, "h").withColumn("first", (F.col("rid") == F.col("first_rid")) & (F.col("n") == F.col("first_n"))).drop("first_rid", "first_n")
-    return both.withColumn("run", F.col("n") - F.row_number().over(Window.partitionBy("rid").orderBy("n")))
+    both = some.join(firsts, "h").withColumn("first", (F.col("rid") == F.col("first_rid")) & (F.col("n") == F.col("first_n")))
+    order = Window.partitionBy("rid").orderBy("n")
+    both = both.withColumn("run", F.col("n") - F.row_number().over(order)).withColumn("opens", F.coalesce(F.col("n") - F.lag("n").over(order) > 1, F.lit(True)))
+    start, words = (F.when(F.col("opens"), F.col(x)).otherwise(F.col(f"own_{x}")).alias(x) for x in ("start", "words"))
+    return both.select("rid", "doc_id", "run", start, "stop", words, "first_doc", "first")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, stop, n_words, first_doc_id, n_cut: each run of chunks that other documents have too.
+    """doc_id, start, stop, n_words, first_doc_id, n_cut: each run of windows that other documents have too.
 
-    start and stop are characters of the text; first_doc_id the smallest id with one of the chunks; n_cut the
+    start and stop are characters of the text; first_doc_id the smallest id with one of the windows; n_cut the
     characters of the run that stand elsewhere first (in the order of ids, null ids last, rows, places), so
     that cutting them keeps one copy of everything. Repeats within one document alone don't count. Documents
     without such a run have no row, nor do null and empty texts; rows that repeat an id are documents of their own.
+    A stretch without cuts (such as one short phrase over and over) is one chunk with what surrounds it, and so
+    is found only with that.
     """
-    found = repeated_chunks(docs, id_col, text_col).groupBy("rid", "doc_id", "run").agg(
+    found = repeated_windows(docs, id_col, text_col).groupBy("rid", "doc_id", "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc_id"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("stop") - F.col("start"))).alias("n_cut")
     )
     return found.filter(F.col("n_words") >= least_words).select("doc_id", "start", "stop", "n_words", "first_doc_id", "n_cut")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with the texts cut to the chunks that stand nowhere before; only runs of least_words or more are cut. ids must be unique."""
-    marked = repeated_chunks(docs, id_col, text_col)
-    runs = marked.groupBy("rid", "run").agg(F.sum("words").alias("w")).filter(F.col("w") >= least_words).drop("w")
+def without_repeats(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs with the texts cut to what stands in no row before; only runs of least_words or more are cut. Each row goes by itself, whatever its id."""
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    marked = saved(repeated_windows(rows, "__row", text_col), "marked")
+    runs = saved(marked.groupBy("rid", "run").agg(F.sum("words").alias("w")).filter(F.col("w") >= least_words).drop("w"), "runs")
     spans = marked.filter(~F.col("first")).join(runs, ["rid", "run"]).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
 
@@ -132,5 +157,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     left = F.aggregate("__spans", start, step)
     rest = F.concat(left["kept"], F.substring(F.col(text_col), left["at"] + 1, F.length(text_col)))
-    joined = docs.join(spans, docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rest)).drop("__id", "__spans")
+    joined = rows.join(spans, rows["__row"] == F.col("__id"), "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rest)).drop("__id", "__spans", "__row")
