@@ -341,3 +341,17 @@ def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     stay = saved(found.groupBy("comp").agg(F.min("at").alias("first")), "stay")
     gone = saved(found.join(stay, "comp").filter("row <> first.row").select(F.col("row").alias("__gone")), "gone")
     return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), rows["__row"] == F.col("__gone"), "left_anti").drop("__row")
+
+
+#: near_groups() at two words and 80 percent in SQL, with all pairs that share a shingle; doc_id must not repeat.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS (SELECT w.doc_id AS doc_id, count(s.g) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS comp FROM n UNION SELECT t.b, r.comp FROM r JOIN t ON t.a = r.node AND r.comp < t.b),
+m AS (SELECT node, min(comp) AS component_id FROM r GROUP BY node)
+SELECT n.doc_id AS doc_id, n.n AS n_shingles, m.component_id AS component_id, n.doc_id = m.component_id AS kept FROM n JOIN m ON m.node = n.doc_id
+"""

@@ -66,6 +66,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_lsh_forest": near.SQL,
     "op3_exact_dedup": exact.SQL,
     "op4_chat_rotation": chat.SQL,
     "op10_mixing": mixing.SQL,
