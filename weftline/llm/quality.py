@@ -88,17 +88,21 @@ class Model:
         return np.where(total > 0, np.clip(voted, 0, 1), self.prior)
 
 
-def fit_vectors(counts: np.ndarray, labels: np.ndarray, rows: dict[int, int] | None = None) -> Model:
+def fit_vectors(counts, labels: np.ndarray, rows: dict[int, int] | None = None) -> Model:
     """Latent-semantic axes by a randomised SVD of the weighted term frequencies; the seed is fixed.
 
-    rows: how many labelled documents of each label there are, where labels is a sample of them.
+    counts: dense term counts, or anything whose slices are such. rows: how many labelled documents of each label
+    there are, where labels is a sample of them.
     """
     if not len(labels):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 1.0, labels)
-    idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.empty(counts.shape, np.float32)
-    for k in range(0, len(x), ROWS):  # in steps, which need little more than x
-        x[k : k + ROWS] = _frequencies(counts[k : k + ROWS]) * idf
+    x, holding = np.empty((len(labels), TERMS), np.float32), np.zeros(TERMS, np.int64)
+    for k in range(0, len(x), ROWS):  # in steps, so that the driver needs little more than x
+        part = counts[k : k + ROWS]
+        holding += (part > 0).sum(axis=0)
+        x[k : k + ROWS] = _frequencies(part)
+    idf = (np.log((1 + len(labels)) / (1 + holding)) + 1).astype(np.float32)
+    x *= idf
     q = np.random.default_rng(0).standard_normal((TERMS, DIMS + 16)).astype(np.float32)
     for _ in range(5):
         q = np.linalg.qr(x.T @ (x @ q))[0]
@@ -112,6 +116,20 @@ def fit_vectors(counts: np.ndarray, labels: np.ndarray, rows: dict[int, int] | N
     return Model(idf, axes, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), labels.astype(np.float64), prior, weights)
 
 
+class _Sparse:
+    """Rows of terms and their counts; slices are dense."""
+
+    def __init__(self, terms: pa.ChunkedArray, counts: pa.ChunkedArray):
+        self.terms, self.counts = terms, counts
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        terms, counts = self.terms[at], self.counts[at]
+        out = np.zeros((len(terms), TERMS), np.int32)
+        for row, term, n in zip(out, terms, counts, strict=True):
+            row[term.values.to_numpy()] = n.values.to_numpy()
+        return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
     """Rows doc_id, text, label: at most per_label of each label; and how many ids have each label. An id labelled both ways is left out."""
     docs = docs.select("doc_id", "text")
@@ -135,10 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = SAMP
     sample, rows = labelled_sample(docs, labels, train, per_label)
     sample = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
     got = sample.mapInArrow(counted, "doc_id long, label int, term array<int>, n array<int>").toArrow().sort_by("doc_id")  # the rows come in no set order
-    counts = np.zeros((len(got), TERMS), np.int32)
-    for row, term, n in zip(counts, got["term"], got["n"], strict=True):
-        row[term.values.to_numpy()] = n.values.to_numpy()
-    return fit_vectors(counts, got["label"].to_numpy().astype(float), rows)
+    return fit_vectors(_Sparse(got["term"], got["n"]), got["label"].to_numpy().astype(float), rows)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
