@@ -221,6 +221,22 @@ def test_every_turn_is_trained_on_once(spark):
     assert chat.rotate(table.limit(0)).count() == 0
 
 
+def test_crowded_parts_are_cut_and_keep_all_rows_in_order(spark):
+    rows = [(1, t, "ab"[t % 2], f"{t:03d} plain") for t in range(20)] + [(1, 7, "a", f"007 row {k}") for k in range(700)] + [(1, 9, "b", "009 same")] * 900 + [(1, None, "b", "000 none")] * 300
+    rows += [(None, 5, "a", "005 same")] * 500 + [(2, t, "a", f"{t:03d} calm") for t in range(40)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part=32, crowd=64).collect()
+    assert max(r.n_turns for r in got) <= 4 * 32 and len({(r.conv_id, r.speaker, r.part, r.slice) for r in got}) == len(got)
+    for conv, speaker in {(r[0], r[2]) for r in rows}:
+        own, turns = [], []
+        for r in sorted((r for r in got if (r.conv_id, r.speaker) == (conv, speaker)), key=lambda r: (r.part, r.slice)):
+            own += [r.text[m.start : m.stop] for m in r.mask]
+            turns += re.findall(r"^(\d{3}) ", r.text, re.M)
+            assert (r.n_turns, r.n_own) == (r.text.count(chat.END), len(r.mask))
+        assert turns == sorted(f"{t or 0:03d}" for c, t, _, _ in rows if c == conv)
+        assert sorted(own) == sorted(x + chat.END for c, _, w, x in rows if (c, w) == (conv, speaker))
+    assert {r.slice for r in got if r.conv_id == 2} == {0}
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 
