@@ -194,6 +194,27 @@ def test_copies_that_share_only_common_seeds(spark, monkeypatch, broadcast):
     assert {r.doc_id for r in dec.clean(df, bench).collect()} == {99}
 
 
+def test_items_of_very_different_lengths(spark):
+    rng = random.Random(6)
+    items = {i: [f"i{i}w{k}" for k in range(n)] for i, n in enumerate([3, 20, 64, 65, 250, 3000])}
+    noise = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for i, words in items.items():
+        # Words put in between cost a fifth of the score, and make the copy longer than the item.
+        wide = [w for k, word in enumerate(words) for w in ([word, f"x{k}"] if k % 5 < 2 else [word])]
+        for k, copy in enumerate([words, wide, words[: len(words) // 3]]):
+            docs.append((10 * i + k, " ".join(noise(40 * i + 7 * k) + copy + noise(500))))
+            share = smith_waterman(words, copy) / (dec.MATCH * len(words)) if len(words) < 300 else [1.0, 0.8, 1 / 3][k]
+            if share >= dec.LEAST and i:
+                want[10 * i + k, i] = share
+    docs.append((99, "i0w0 i0w1 i0w2"))
+    want |= {(0, 0): 1.0, (99, 0): 1.0}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert dec.widths(dec.item_words(bench)) == {0: 129, 1: 501, 3: 6001}
+    got = {(r.doc_id, r.item_id): r.similarity for r in dec.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {k: round(v, 2) for k, v in got.items()} == {k: round(v, 2) for k, v in want.items()}
+
+
 def test_decontamination_finds_all_whole_copies(spark):
     norm = lambda t: " " + " ".join(t.lower().split()) + " "
     docs = [(r.doc_id, norm(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

@@ -21,6 +21,8 @@ MATCH, MISMATCH, GAP, LEAST = 2, -1, -1, 0.5
 FILTER_BITS = 25
 #: Items up to which their words are broadcast, if none has more than so many words.
 BROADCAST_ITEMS, BROADCAST_WORDS = 20_000, 500
+#: Items of up to so many words are one class, those of up to 4 times as many the next one, and so on.
+CLASS = 64
 #: Seeds up to which they are broadcast, and in how many parts each is dealt where they are more.
 BROADCAST_SEEDS, SALT = 200_000, 16
 STEP = 2_000_000
@@ -38,7 +40,7 @@ def seeds_of(words: np.ndarray) -> np.ndarray:
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """item_id, text's word hashes as uint32 and its seeds; repeated rows of one id and text count once."""
+    """item_id, text's word hashes as uint32, its seeds and class by length; repeated rows of one id and text count once."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
 
     def hashed(batches):
@@ -49,26 +51,34 @@ def item_words(benchmark: DataFrame) -> DataFrame:
                 names=["item_id", "n", "words", "seeds"],
             )
 
-    return saved(rows.mapInArrow(hashed, "item_id long, n int, words binary, seeds array<long>").withColumn("item", F.monotonically_increasing_id()), "items")
+    kind = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n"), F.lit(1)) / CLASS) / 2)).cast("int")
+    found = rows.mapInArrow(hashed, "item_id long, n int, words binary, seeds array<long>")
+    return saved(found.withColumn("item", F.monotonically_increasing_id()).withColumn("kind", kind), "items")
+
+
+def widths(items: DataFrame) -> dict[int, int]:
+    """Words of a document that an alignment over the least score can span, for each class: twice those of its longest item, as every word left out or put in takes from the score. There are at most 14 classes."""
+    return {r.kind: 2 * r.n + 1 for r in items.groupBy("kind").agg(F.max("n").alias("n")).toLocalIterator()}
 
 
 def with_items(tiles: DataFrame, seeds: DataFrame) -> DataFrame:
-    """rid, tile, item: each stretch with all items that share a seed. Where seeds are too many to be broadcast, each is dealt SALT times, so that a frequent one is many tasks' work."""
-    held = tiles.select("rid", "tile", F.explode("seeds").alias("h"))
+    """rid, kind, tile, item: each stretch with all items of its class that share a seed. Where seeds are too many to be broadcast, each is dealt SALT times, so that a frequent one is many tasks' work."""
+    held = tiles.select("rid", "kind", "tile", F.explode("seeds").alias("h"))
     if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        both = held.join(F.broadcast(seeds), "h")
+        both = held.join(F.broadcast(seeds), ["h", "kind"])
     else:
         salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        both = held.withColumn("salt", F.pmod(F.xxhash64("rid", "tile"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"])
-    return both.select("rid", "tile", "item").distinct()
+        both = held.withColumn("salt", F.pmod(F.xxhash64("rid", "tile"), F.lit(SALT)).cast("int")).join(salted, ["h", "kind", "salt"])
+    return both.select("rid", "kind", "tile", "item").distinct()
 
 
-def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stretches of 2 * width words, each width words further on, that hold a seed: rid, tile, doc_id, words, seeds.
+def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each class of items, stretches of 2 * width words, each width words further on, that hold a seed of the class: rid, kind, tile, doc_id, words, seeds.
 
-    Every passage of up to width words lies within one of them. rid numbers the rows read.
+    Every passage of up to the class's width lies within one of them. rid numbers the rows read.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
+    context = docs.sparkSession.sparkContext
+    bits = {kind: context.broadcast(bitmap_of(seeds.filter(F.col("kind") == kind).select("h"), FILTER_BITS)) for kind in width}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def tiled(batches):
@@ -78,16 +88,17 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: int, id_col: str
             for doc_id, text in zip(ids, texts, strict=True):
                 words = words_of(text)
                 grams = seeds_of(words)
-                at = np.flatnonzero(in_bitmap(grams, bits.value, FILTER_BITS))
-                for k in sorted({t for t in (*(at // width).tolist(), *(at // width - 1).tolist()) if t >= 0}):
-                    lo, hi = np.searchsorted(at, [k * width, (k + 2) * width])
-                    out.append((base + row, k, doc_id, words[k * width : (k + 2) * width].astype("<u4").tobytes(), np.unique(grams[at[lo:hi]]).view(np.int64)))
+                for kind, w in width.items():
+                    at = np.flatnonzero(in_bitmap(grams, bits[kind].value, FILTER_BITS))
+                    for k in sorted({t for t in (*(at // w).tolist(), *(at // w - 1).tolist()) if t >= 0}):
+                        lo, hi = np.searchsorted(at, [k * w, (k + 2) * w])
+                        out.append((base + row, kind, k, doc_id, words[k * w : (k + 2) * w].astype("<u4").tobytes(), np.unique(grams[at[lo:hi]]).view(np.int64)))
                 row += 1
             if out:
                 c = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4], pa.list_(pa.int64()))], names=["rid", "tile", "doc_id", "words", "seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.list_(pa.int64()))], names=["rid", "kind", "tile", "doc_id", "words", "seeds"])
 
-    return saved(rows.mapInArrow(tiled, "rid long, tile int, doc_id long, words binary, seeds array<long>"), "tiles")
+    return saved(rows.mapInArrow(tiled, "rid long, kind int, tile int, doc_id long, words binary, seeds array<long>"), "tiles")
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,27 +135,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     similarity (LEAST to 1) is the alignment's score over that of a whole copy; start and stop number the
     document's words the alignment spans. The best alignment of each pair; rows that share an id count as one
     document, null ids too. Null and empty texts match nothing. An item under SEED words has no seed in a longer text and
-    so matches only documents that are that item and nothing else. Other columns are left out.
+    so matches only documents that are that item and nothing else. Items are aligned with stretches as wide as their
+    own class by length asks, so that one long item doesn't widen all. Other columns are left out.
     """
     items = item_words(benchmark)
-    width = int(1.5 * (items.agg(F.max("n")).first()[0] or 0)) + 1
-    seeds = saved(items.select("item", F.explode("seeds").alias("h")), "seeds")
+    width = widths(items)
+    seeds = saved(items.select("item", "kind", F.explode("seeds").alias("h")), "seeds")
     tiles = tiles_with_seeds(docs, seeds, width, id_col, text_col)
     pairs = with_items(tiles, seeds)
     known = items.select("item", "item_id", F.col("words").alias("item_words"))
-    if width <= 1.5 * BROADCAST_WORDS:
+    if max(width.values(), default=0) <= 2 * BROADCAST_WORDS + 1:
         known = broadcast_if_small(known, BROADCAST_ITEMS)
-    both = pairs.join(tiles.select("rid", "tile", "doc_id", "words"), ["rid", "tile"]).join(known, "item").select("doc_id", "item_id", "tile", "words", "item_words")
+    both = pairs.join(tiles.select("rid", "kind", "tile", "doc_id", "words"), ["rid", "kind", "tile"]).join(known, "item").select("doc_id", "item_id", "kind", "tile", "words", "item_words")
 
     def aligned(batches):
         for batch in batches:
-            doc, item, tile, words, own = (c.to_pylist() for c in batch.columns)
+            doc, item, kind, tile, words, own = (c.to_pylist() for c in batch.columns)
             for at in _alike([len(x) * len(y) if _can_match(x, y) else 0 for x, y in zip(words, own, strict=True)]):
                 a = [np.frombuffer(own[k], "<u4") for k in at]
                 score, start, stop = align(a, [np.frombuffer(words[k], "<u4") for k in at])
                 share = score / (MATCH * np.array([len(x) for x in a]))
                 good = np.flatnonzero(share >= LEAST)
-                first = np.array([tile[k] for k in at], np.int64)[good] * width
+                first = np.array([tile[k] * width[kind[k]] for k in at], np.int64)[good]
                 yield pa.RecordBatch.from_arrays([pa.array([doc[at[k]] for k in good], pa.int64()), pa.array([item[at[k]] for k in good], pa.int64()), pa.array(share[good]), pa.array(first + start[good]), pa.array(first + stop[good])], names=["doc_id", "item_id", "similarity", "start", "stop"])
 
     found = both.mapInArrow(aligned, "doc_id long, item_id long, similarity double, start long, stop long")
