@@ -120,6 +120,18 @@ def pieces_of(batches, columns: list[str], size_of: str, most: int, rows: int =
     pa.default_memory_pool().release_unused()
 
 
+def arrow_steps(batches, size_of: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose size_of column adds up to about `most` bytes each; a larger value is a slice of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(size_of))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
+
+
 #: Bits of one row of a bit map, those of the built-in bitmap functions.
 MAP_ROW = 1 << 15
 

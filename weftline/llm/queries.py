@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat, decontaminate, exact, language, mixing, near, quality, scoring, substrings, token_files
+from weftline.llm import chat, decontaminate, exact, fim, language, mixing, near, quality, scoring, substrings, token_files
 from weftline.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    """Fill-in-middle forms of all documents, each with the digests of its output and of the text restored from it."""
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_lsh_forest": op2_lsh_forest,
@@ -63,6 +68,7 @@ QUERIES = {
     "op8_bloom_lm": op8_bloom_lm,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -70,4 +76,5 @@ ORACLES = {
     "op3_exact_dedup": exact.SQL,
     "op4_chat_rotation": chat.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_fill_in_middle": fim.SQL,
 }
