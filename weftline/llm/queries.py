@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import align, chat, decontaminate, exact, fim, language, mixing, near, quality, scoring, substrings, token_files
+from weftline.llm import align, chat, decontaminate, exact, fim, language, mixing, near, quality, scoring, substrings, suffixes, token_files
 from weftline.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op11_fill_in_middle(spark, sf_dir):
     return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents that lie in a 400-byte string which also starts elsewhere, and the digest of the others."""
+    return suffixes.digests(suffixes.covered(table(spark, sf_dir, "documents")))
+
+
 def op13_alignment(spark, sf_dir):
     """Alignment of the byte-level and the piece vocabulary's tokens in all documents, with corpus-wide counts of linked ids."""
     return align.alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
@@ -74,6 +79,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_alignment": op13_alignment,
 }
 
