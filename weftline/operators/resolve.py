@@ -28,9 +28,14 @@ def resolve_fixed(df: DataFrame, url: str, key: str, names, default: str, prefix
     return resolve(df, url, key, names, F.lit(default), prefix)
 
 
-def resolve_random(df: DataFrame, url: str, key: str, names, seed: int | None = None, prefix: str = "themes/") -> DataFrame:
-    """resolve() with a fallback drawn uniformly from names; a seed repeats the draw for the same partitions only."""
-    return resolve(df, url, key, names, random_member(names, seed), prefix)
+def resolve_random(df: DataFrame, url: str, key: str, names, seed: int | None = None, prefix: str = "themes/", row_key: str | None = None) -> DataFrame:
+    """resolve() with a fallback drawn uniformly from names.
+
+    row_key: a column whose value decides, with the seed, what a row draws, whatever the partitions; without it each row
+    draws anew, and a seed repeats that for the same partitions only.
+    """
+    drawn = random_member(names, seed, None if row_key is None else F.col(row_key))
+    return resolve(df, url, key, names, drawn, prefix)
 
 
 def resolve_against(df: DataFrame, url: str, key: str, catalog: DataFrame, default: str, prefix: str = "themes/") -> DataFrame:

@@ -11,6 +11,8 @@ from weftline.sources import static
 
 #: pages.url has no theme key: its page key and two of its values stand in for them.
 KEY, NAMES, DEFAULT = "page", ("2", "3"), "2"
+#: Of the drawn fallback.
+SEED = 7
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def resolve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_random(pages(spark, sf_dir), "url", KEY, static.CATALOG, seed=7).select("page_id", "path")
+    return resolve_random(pages(spark, sf_dir), "url", KEY, static.CATALOG, seed=SEED, row_key="page_id").select("page_id", "path")
 
 
 def directory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +62,13 @@ def _values(rows, names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows) + f") AS t({names})"
 
 
-_VALUE = "CASE WHEN regexp_matches(url, '^[^?#]*[?]([^#]*&)?page(=|&|#|$)') THEN regexp_extract(url, '^[^?#]*[?](?:[^#]*&)?page=?([^&#]*)', 1) END"
+_DECODE = "url_decode(replace({}, '+', ' '))"
+_PARTS = "list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '')"
+_PAIRS = f"list_transform({_PARTS}, lambda p: {{'k': {_DECODE.format("split_part(p, '=', 1)")}, 'v': {_DECODE.format("regexp_replace(p, '^[^=]*=?', '')")}}})"
+_VALUE = f"list_filter({_PAIRS}, lambda e: e.k = '{KEY}')[1].v"
 _MENU = [(t, k, static.MISSPELT[2] if (t, k) == static.MISSPELT[:2] else s, k == 1 and t != static.NO_SELECTION) for t in static.CATALOG for k, s in enumerate(static.SHORT_MENUS.get(t, static.LONG_MENU), 1)]
 _LISTING = [(t, p, path if t == "amber-crt.html" else None, n, e, s) for t in ("amber-crt.html", "nc1.html") for p, path, n, e, s in static.LISTING]
+_CATALOG = "[" + ", ".join(map(_text, static.CATALOG)) + "]"
 _RESOLVED = f"SELECT page_id, coalesce(v IN ('2', '3'), FALSE) AS valid, 'themes/' || CASE WHEN v IN ('2', '3') THEN v ELSE '2' END AS path FROM (SELECT page_id, {_VALUE} AS v FROM pages) AS t"
 
 QUERIES = {
@@ -84,10 +90,11 @@ QUERIES = {
 ORACLES = {
     "theme_catalog": _values(list(enumerate(static.CATALOG)), "ord, theme"),
     "catalog_size": "SELECT CAST(count(*) AS INTEGER) AS n FROM (" + _values(list(enumerate(static.CATALOG)), "ord, theme") + ") AS c",
-    "url_pairs": "SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, split_part(part, '=', 1) AS k, regexp_replace(part, '^[^=]*=?', '') AS v FROM (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT page_id, string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&') AS parts FROM pages) AS a) AS b WHERE part <> ''",
+    "url_pairs": f"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, pair.k AS k, pair.v AS v FROM (SELECT page_id, unnest(pairs) AS pair, generate_subscripts(pairs, 1) AS pos FROM (SELECT page_id, {_PAIRS} AS pairs FROM pages) AS a) AS b",
     "url_param": f"SELECT page_id, {_VALUE} AS value FROM pages",
     "resolve_valid": _RESOLVED,
     "resolve_table": _RESOLVED,
+    "resolve_random": f"SELECT page_id, 'themes/' || CASE WHEN list_contains({_CATALOG}, v) THEN v ELSE {_CATALOG}[1 + CAST(floor(CAST('0x' || substr(md5('{SEED}:' || CAST(page_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 * {len(static.CATALOG)}) AS INTEGER)] END AS path FROM (SELECT page_id, {_VALUE} AS v FROM pages) AS t",
     "directory_listing": "SELECT *, DATE '2024-05-24' AS date FROM (" + _values(_LISTING, "theme, panel, path, name, ext, size") + ") AS l",
     "directory_totals": "SELECT theme, panel, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (" + _values(_LISTING, "theme, panel, path, name, ext, size") + ") AS l GROUP BY theme, panel",
     "menu_items": _values(_MENU, "theme, ord, label, selected"),
