@@ -27,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All sources at equal weights, as many documents in all as there are, shuffled."""
-    return mixing.mix(docs).drop("copy_no")
+    return mixing.mix(docs, copy_col=None)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

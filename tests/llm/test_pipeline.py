@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 from test_near import brute as near_brute
-from test_small_ops import poisson_inverse
+from test_small_ops import poisson_inverse, row_name
 
 import corpus_pipeline
 from weftline.llm import decontaminate, near, quality, queries
@@ -28,11 +28,12 @@ def test_rows_equal_brute_force(spark):
     rows = [r for r in rows if r.doc_id in keep and not any(i in norm(r.text) for i in items)]
     n = Counter(r.source for r in rows)
     t = Tokenizer.from_file(queries.tokenizer_path())
-    want = Counter()
+    want, seen = Counter(), Counter()
     for r in rows:
         rate = len(rows) / len(n) / n[r.source]
         m = max(1, math.ceil(rate / 32))
-        copies = sum(poisson_inverse(rate / m, int(hashlib.md5(f"0:{r.doc_id}:{j}".encode()).hexdigest()[:13], 16) / 2**52) for j in range(1, m + 1))
+        name = row_name(r, seen)
+        copies = sum(poisson_inverse(rate / m, int(hashlib.md5(f"0:{name}:{j}".encode()).hexdigest()[:13], 16) / 2**52) for j in range(1, m + 1))
         if copies:
             ids = [*t.encode(r.text, add_special_tokens=False).ids, 2]
             want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] = copies

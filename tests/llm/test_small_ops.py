@@ -4,7 +4,9 @@ import glob
 import hashlib
 import math
 import re
+import statistics
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -250,18 +252,28 @@ def poisson_inverse(mean, u):
     return n
 
 
+def row_name(r, seen):
+    """The digest of a row with its number among equal rows."""
+    digest = hashlib.md5("".join("-" if c is None else f"{len(str(c))}:{c}" for c in r).encode()).hexdigest()
+    seen[digest] += 1
+    return f"{digest}#{seen[digest] - 1}"
+
+
 def test_mixing_of_odd_rows(spark):
     got = mixing.mix(odd(spark), total=40 * len(ODD), seed=4)
     assert got.columns == [c for c in odd(spark).columns if c != "copy_no"] + ["copy_no"]
     sizes = {s: sum(r[3] == s for r in ODD) for s in {r[3] for r in ODD}}
-    want = 0
+    want, seen = Counter(), Counter()
+    names = odd(spark).columns
     for r in ODD:
         rate = 40 * len(ODD) / len(sizes) / sizes[r[3]]
         m = max(1, math.ceil(rate / 32))
+        own = tuple(c for c, n in zip((*r, "clash", 1, "clash", 3, 4, "clash"), names, strict=True) if n != "copy_no")
+        name, copies = row_name(own, seen), 0
         for j in range(1, m + 1):
-            u = int(hashlib.md5(f"4:{'null' + hashlib.md5((r[1] or '').encode()).hexdigest() if r[0] is None else r[0]}:{j}".encode()).hexdigest()[:13], 16) / 2**52
-            want += poisson_inverse(rate / m, u)
-    assert got.count() == want
+            copies += poisson_inverse(rate / m, int(hashlib.md5(f"4:{name}:{j}".encode()).hexdigest()[:13], 16) / 2**52)
+        want.update((*own, k) for k in range(1, copies + 1))
+    assert Counter(map(tuple, got.collect())) == want
     assert mixing.mix(odd(spark).limit(0)).count() == 0
 
 
@@ -297,6 +309,26 @@ def test_no_python_on_the_main_path(spark, monkeypatch):
     assert len(plans) > 9 and not any("Python" in p or "Arrow" in p for p in plans)
 
 
+@pytest.mark.parametrize("one_id,alike", [(5, False), (6, False), (7, True), (None, True)])
+def test_rows_that_share_an_id_are_drawn_by_themselves(spark, one_id, alike):
+    text = F.lit("same") if alike else F.concat(F.lit("t"), F.col("id").cast("string"))
+    docs = spark.range(30000).select(F.when(F.col("id") < 10000, F.lit(one_id)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 10000, text).otherwise("x").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs.repartition(5))
+    parts = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    n = got.filter(F.col("doc_id").eqNullSafe(one_id)).count()
+    assert abs(sum(parts) - 30000) < 900 and abs(n - 10000) < 500
+    assert max(parts) < 2 * statistics.median(parts)
+    if alike:
+        assert mixing.mix(docs.repartition(9)).groupBy("doc_id", "copy_no").count().exceptAll(got.groupBy("doc_id", "copy_no").count()).isEmpty()
+
+
+def test_own_columns_stay_where_no_number_is_asked_for(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", "s", 7, 1.5, "o", "n") for k in range(50)], "doc_id long, text string, source string, copy_no int, cdf double, row string, `a.b` string")
+    got = mixing.mix(docs, copy_col=None)
+    assert got.columns == docs.columns and {r.copy_no for r in got.collect()} == {7}
+    assert mixing.mix(docs).columns == [c for c in docs.columns if c != "copy_no"] + ["copy_no"]
+
+
 def test_null_ids_are_drawn_by_their_texts(spark):
     docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
     n = mixing.mix(docs).groupBy("text").count().groupBy("count").count().count()
