@@ -205,7 +205,7 @@ def test_items_of_very_different_lengths(spark):
         for k, copy in enumerate([words, wide, words[: len(words) // 3]]):
             docs.append((10 * i + k, " ".join(noise(40 * i + 7 * k) + copy + noise(500))))
             share = smith_waterman(words, copy) / (dec.MATCH * len(words)) if len(words) < 300 else [1.0, 0.8, 1 / 3][k]
-            if share >= dec.LEAST and i:
+            if share >= dec.LEAST:
                 want[10 * i + k, i] = share
     docs.append((99, "i0w0 i0w1 i0w2"))
     want |= {(0, 0): 1.0, (99, 0): 1.0}
@@ -222,3 +222,74 @@ def test_decontamination_finds_all_whole_copies(spark):
     whole = {(d, i) for d, t in docs for i, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in queries.op6_decontamination(spark, SF).collect()}
     assert whole and whole <= got and len(got) <= len(whole) + 5
+
+
+def every_third_left_out(w):
+    return [x for k, x in enumerate(w) if k % 3 != 2]
+
+
+def every_third_replaced(w):
+    return [f"new{k}" if k % 3 == 2 else x for k, x in enumerate(w)]
+
+
+def one_put_in_after_two(w):
+    return [x for k, y in enumerate(w) for x in ([y, f"put{k}"] if k % 2 else [y])]
+
+
+def one_put_in_after_each(w):
+    return [x for k, y in enumerate(w) for x in (y, f"put{k}")]
+
+
+def test_copies_without_three_words_in_a_row_are_found(spark):
+    rnd = np.random.default_rng(3)
+    items = [[f"w{x}" for x in rnd.integers(0, 5000, n)] for n in (31, 30, 64, 12, 4, 5, 7, 3, 90)]
+    rows, want = [], {}
+    for k, item in enumerate(items):
+        for j, edit in enumerate((every_third_left_out, every_third_replaced, one_put_in_after_two, one_put_in_after_each, list)):
+            text = [f"x{x}" for x in rnd.integers(0, 5000, 40)] + edit(item) + [f"y{x}" for x in rnd.integers(0, 5000, 40)]
+            words = [dec.words_of(" ".join(t)) for t in (item, text)]
+            score = int(dec.align(words[:1], words[1:])[0][0])
+            if score >= dec.LEAST * 2 * len(item):
+                want[k * 10 + j, k] = score / (2 * len(item))
+            rows.append((k * 10 + j, " ".join(text)))
+    assert len(want) > 30
+    # Seeds of every item are frequent, too.
+    rows += [(1000 + k, " ".join(w for item in items for w in item[k % 7 :: 2])) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in dec.matches(docs, bench).collect() if r.doc_id < 1000}
+    assert want.keys() <= got.keys()
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_matches_equal_the_alignment_of_all_pairs(spark):
+    docs = [(r.doc_id, dec.words_of(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r.item_id, dec.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {}
+    for item, own in items:
+        able = [(d, w) for d, w in docs if np.isin(own, w).sum() >= dec.LEAST * len(own)]  # fewer words can't make up the score
+        for k in range(0, len(able), 20):
+            part = sorted(able, key=lambda x: len(x[1]))[k : k + 20]
+            scores = dec.align([own] * len(part), [w for _, w in part])[0]
+            want |= {(d, item): s / (2 * len(own)) for (d, _), s in zip(part, scores.tolist(), strict=True) if s >= dec.LEAST * 2 * len(own)}
+    got = {(r.doc_id, r.item_id): r.similarity for r in dec.matches(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert len(want) > 5 and got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_the_number_of_seeds_in_common_holds_for_all_small_alignments():
+    from itertools import product
+
+    for n in range(3, 9):  # each item word matched, replaced or left out, with 0 to 2 words put in after it
+        for states in product((0, 1), repeat=n):
+            if not any(states):
+                continue
+            lo, hi = states.index(1), n - states[::-1].index(1)
+            m, u = sum(states), hi - lo - sum(states)
+            near = [k for k in range(lo, hi - 1) if states[k] and states[k + 1]]
+            most = 2 * m - u - n  # words that can be put in
+            if most < 0:
+                continue
+            far = min(len(near), most // 2)
+            held = len(near) - far + (n == 3 and states == (1, 0, 1))
+            assert held >= dec.seeds_in_common(n), (n, states)

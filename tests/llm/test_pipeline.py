@@ -73,3 +73,21 @@ def test_rows_go_by_themselves_not_by_id(spark):
     bench = spark.createDataFrame([(1, say("b")), (2, say("c"))], "item_id long, text string")
     left = [r for r in rows if r[1] not in (say("b"), say("c"))]
     assert Counter(map(tuple, decontaminate.clean(df, bench).collect())) == Counter(left)
+
+
+def test_odd_rows_and_clashing_columns_in_all_stages(spark):
+    say = lambda w: " ".join(f"{w}{k}" for k in range(30))
+    own = "score double, predicted int, copy_no int, row string, gone string, bad string, digest string, name string, cdf double, component_id long, item int"
+    odd = [(1, say("a")), (1, say("a")), (None, say("b")), (None, None), (7, ""), (7, "  "), (8, "x" * 1_000_000), (9, say("c"))]
+    rows = [(i, t, "en", None if k % 3 else "s", k, 77.0, 5, 6, "r", "g", "b", "d", "n", 1.5, 9, 8) for k, (i, t) in enumerate(odd)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {own}")
+    given = Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        found = Counter(map(tuple, got.collect()))
+        assert found.keys() <= given.keys() and (name == "mix_sources" or not found - given), name
+        if name == "near_dedup":
+            assert given - found == Counter([rows[1]]) or given - found == Counter([rows[0]])
+    got = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == len(rows)

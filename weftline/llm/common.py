@@ -52,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as it takes to be no column of df (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null stays null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare seeds of two words, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bitmap_of, broadcast_if_small, in_bitmap, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import bitmap_of, broadcast_if_small, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
 
-#: Words of a seed. All seeds of an item are looked up. What has fewer words is one seed as a whole.
+#: An item of fewer words is one seed as a whole, and so is a document of fewer.
 SEED = 3
 #: Alignment score of two equal words, two different ones, and a word left out; a pair counts from this share of the score of a whole copy on.
 MATCH, MISMATCH, GAP, LEAST = 2, -1, -1, 0.5
@@ -26,6 +26,8 @@ CLASS = 64
 #: Seeds up to which they are broadcast, and in how many parts each is dealt where they are more.
 BROADCAST_SEEDS, SALT = 200_000, 16
 STEP = 2_000_000
+#: Seeds whose counts a task holds before it passes them on.
+KNOWN = 1_000_000
 
 _SIGNS = string.punctuation.encode()
 
@@ -35,19 +37,54 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace").translate(None, _SIGNS))
 
 
-def seeds_of(words: np.ndarray) -> np.ndarray:
-    return ngram_hashes(words, min(SEED, max(1, len(words))))
+def pairs_of(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the one that stands `apart` words on; the distance itself doesn't count."""
+    if len(words) <= apart:
+        return words[:0]
+    with np.errstate(over="ignore"):
+        return mixed(words[:-apart] * np.uint64(0x9E3779B97F4A7C15) + words[apart:])
+
+
+def whole_seed(words: np.ndarray) -> np.ndarray:
+    return mixed(ngram_hashes(words, max(1, len(words))) ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def item_seeds(words: np.ndarray) -> np.ndarray:
+    """The seeds of an item: each two neighbouring words (of three words, the outer two as well), repeats kept."""
+    if len(words) < SEED:
+        return whole_seed(words)
+    return np.concatenate([pairs_of(words, 1), pairs_of(words, 2)]) if len(words) == SEED else pairs_of(words, 1)
+
+
+def held_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of a document, two words next to each other or with one between, and the place of each in it."""
+    if len(words) < SEED:
+        own = whole_seed(words)
+        return own, np.zeros(len(own), np.int64)
+    one, two = pairs_of(words, 1), pairs_of(words, 2)
+    return np.concatenate([one, two]), np.concatenate([np.arange(len(one)), np.arange(len(two))])
+
+
+def seeds_in_common(n):
+    """Of an item's n words, how many seeds a stretch holds at least where it aligns with LEAST of the score.
+
+    With m words matched, t left out at the ends, u within and v put in, the score 2m - u - v is at least half of the item's 2n where
+    m >= t + 2u + v. At least m - 1 - u neighbours are then matched both; at most v / 2 of them have two
+    words or more put between. So (m + t) / 2 - 1 or more stand at a distance of 1 or 2; as n = m + t + u and 3u <= n, that is n / 3 - 1.
+    Of three words the outer two alone can do, and they are a seed too.
+    """
+    return np.maximum(1, -(-n // 3) - 1)
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """item_id, text's word hashes as uint32, its seeds and class by length; repeated rows of one id and text count once."""
+    """item_id, n (words), words (hashes as uint32), seeds, item and kind (class by length); repeated rows of one id and text count once."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
 
     def hashed(batches):
         for ids, texts in pieces_of(batches, ["item_id", "text"], "text", STEP):
             words = [words_of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([w.astype("<u4").tobytes() for w in words]), pa.array([np.unique(seeds_of(w)).view(np.int64) for w in words], pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([w.astype("<u4").tobytes() for w in words]), pa.array([item_seeds(w).view(np.int64) for w in words], pa.list_(pa.int64()))],
                 names=["item_id", "n", "words", "seeds"],
             )
 
@@ -61,6 +98,40 @@ def widths(items: DataFrame) -> dict[int, int]:
     return {r.kind: 2 * r.n + 1 for r in items.groupBy("kind").agg(F.max("n").alias("n")).toLocalIterator()}
 
 
+def seed_counts(docs: DataFrame, seeds: DataFrame, text_col: str = "text") -> DataFrame:
+    """h, n: how often the documents hold each of the seeds; others that the filter takes for some come too. Each task merges its own first."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
+
+    def counted(batches):
+        total: dict[int, int] = {}
+        for (texts,) in pieces_of(batches, ["text"], "text", STEP):
+            found = [held_seeds(words_of(t))[0] for t in texts]
+            found = np.concatenate(found)
+            h, n = np.unique(found[in_bitmap(found, bits.value, FILTER_BITS)].view(np.int64), return_counts=True)
+            for k, x in zip(h.tolist(), n.tolist(), strict=True):
+                total[k] = total.get(k, 0) + x
+            if len(total) > KNOWN:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["h", "n"])
+                total = {}
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["h", "n"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("times"))
+
+
+def rare_seeds(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """Written rows item, kind, h: of each item's seeds the rarest in the documents, so many that no alignment over the least score does without all of them.
+
+    A stretch lacks all but seeds_in_common() of an item's seeds at most, so that one more than it can lack are looked up.
+    """
+    each = saved(items.select("item", "kind", "n", F.size("seeds").alias("size"), F.posexplode("seeds").alias("pos", "h")), "seeds")
+    times = saved(seed_counts(docs, each, text_col), "times")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("times", F.lit(0)), "h", "pos"))
+    common = F.greatest(F.lit(1), F.ceil(F.col("n") / 3) - 1)
+    chosen = each.join(times, "h", "left").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - common + 1)
+    return saved(chosen.select("item", "kind", "h").distinct(), "chosen")
+
+
 def with_items(tiles: DataFrame, seeds: DataFrame) -> DataFrame:
     """rid, kind, tile, item: each stretch with all items of its class that share a seed. Where seeds are too many to be broadcast, each is dealt SALT times, so that a frequent one is many tasks' work."""
     held = tiles.select("rid", "kind", "tile", F.explode("seeds").alias("h"))
@@ -87,12 +158,14 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: dict[int, int], i
             out = []
             for doc_id, text in zip(ids, texts, strict=True):
                 words = words_of(text)
-                grams = seeds_of(words)
+                grams, places = held_seeds(words)
                 for kind, w in width.items():
-                    at = np.flatnonzero(in_bitmap(grams, bits[kind].value, FILTER_BITS))
+                    ok = np.flatnonzero(in_bitmap(grams, bits[kind].value, FILTER_BITS))
+                    ok = ok[np.argsort(places[ok], kind="stable")]
+                    at = places[ok]
                     for k in sorted({t for t in (*(at // w).tolist(), *(at // w - 1).tolist()) if t >= 0}):
                         lo, hi = np.searchsorted(at, [k * w, (k + 2) * w])
-                        out.append((base + row, kind, k, doc_id, words[k * w : (k + 2) * w].astype("<u4").tobytes(), np.unique(grams[at[lo:hi]]).view(np.int64)))
+                        out.append((base + row, kind, k, doc_id, words[k * w : (k + 2) * w].astype("<u4").tobytes(), np.unique(grams[ok[lo:hi]]).view(np.int64)))
                 row += 1
             if out:
                 c = list(zip(*out, strict=True))
@@ -135,12 +208,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     similarity (LEAST to 1) is the alignment's score over that of a whole copy; start and stop number the
     document's words the alignment spans. The best alignment of each pair; rows that share an id count as one
     document, null ids too. Null and empty texts match nothing. An item under SEED words has no seed in a longer text and
-    so matches only documents that are that item and nothing else. Items are aligned with stretches as wide as their
+    so matches only documents that are that item and nothing else. Of all others no alignment over LEAST is lost: see
+    seeds_in_common() and rare_seeds(), which hold for these scores (equal hashes of words apart). Items are aligned with stretches as wide as their
     own class by length asks, so that one long item doesn't widen all. Other columns are left out.
     """
     items = item_words(benchmark)
     width = widths(items)
-    seeds = saved(items.select("item", "kind", F.explode("seeds").alias("h")), "seeds")
+    seeds = rare_seeds(docs, items, text_col)
     tiles = tiles_with_seeds(docs, seeds, width, id_col, text_col)
     pairs = with_items(tiles, seeds)
     known = items.select("item", "item_id", F.col("words").alias("item_words"))
@@ -165,9 +239,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def _can_match(words: bytes, own: bytes) -> bool:
-    """Whether the stretch has enough of the item's words for the least score: equal words alone add to a score, MATCH for each of the item's."""
-    own_ = np.frombuffer(own, "<u4")
-    return MATCH * int(np.isin(own_, np.frombuffer(words, "<u4")).sum()) >= LEAST * MATCH * len(own_)
+    """Whether the stretch has enough of the item's words, and of its seeds, for the least score: equal words alone add to a score, MATCH for each of the item's."""
+    own_, words_ = np.frombuffer(own, "<u4").astype(np.uint64), np.frombuffer(words, "<u4").astype(np.uint64)
+    if np.isin(own_, words_).sum() < LEAST * len(own_):
+        return False
+    if len(own_) < SEED:
+        return True
+    return int(np.isin(item_seeds(own_), held_seeds(words_)[0]).sum()) >= seeds_in_common(len(own_))
 
 
 def _alike(sizes: list[int], cells: int = 4_000_000) -> Iterator[list[int]]:
@@ -186,7 +264,8 @@ def _alike(sizes: list[int], cells: int = 4_000_000) -> Iterator[list[int]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that have a match, each row by itself, whatever its doc_id."""
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    bad = saved(matches(rows, benchmark, id_col="__row").select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return rows.join(broadcast_if_small(bad, 1_000_000), rows["__row"] == F.col("__bad"), "left_anti").drop("__row")
+    """docs without the rows that have a match, each row by itself, whatever its doc_id. Other columns stay, whatever their names; an empty table stays empty."""
+    row, bad = free_name(docs, "row"), free_name(docs, "bad")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = saved(matches(rows, benchmark, id_col=row).select(F.col("doc_id").alias(bad)).distinct(), "leaks")
+    return rows.join(broadcast_if_small(found, 1_000_000), F.col(row) == F.col(bad), "left_anti").drop(row)
