@@ -333,3 +333,29 @@ def test_null_ids_are_drawn_by_their_texts(spark):
     docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
     n = mixing.mix(docs).groupBy("text").count().groupBy("count").count().count()
     assert n > 3 and abs(mixing.mix(docs).count() - 2000) < 200
+
+
+@pytest.mark.parametrize("texts", ["alike", "different"])
+def test_rows_without_an_id_go_to_many_tasks(spark, texts):
+    text = F.lit("same words") if texts == "alike" else F.concat(F.lit("t"), F.col("id").cast("string"))
+    docs = spark.range(12000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), text.alias("text"), F.lit(0).alias("place"))
+    path = shared_folder(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one task's
+    try:
+        token_files.write_token_files(docs.repartition(6), path, queries.tokenizer_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = [r["count"] for r in spark.read.parquet(f"{path}/docs").groupBy("shard").count().collect()]
+    assert len(rows) > 4 and max(rows) < 2 * statistics.median(rows)
+    got = sorted(token_files.read_token_files(spark, path, "crc long", token_files.crc_of).collect(), key=lambda r: r.start)
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and len(ids) == 12000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+
+
+def test_starts_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BLOCK", 7)
+    n = [(3 * k, (k * 37) % 11) for k in range(100)]
+    got = {r.shard: r.base for r in token_files.shard_starts(spark.createDataFrame(n, "shard int, n long").repartition(5)).collect()}
+    assert got == {s: sum(x for t, x in n if t < s) for s, _ in n}
+    assert token_files.shard_starts(spark.createDataFrame([], "shard int, n long")).count() == 0

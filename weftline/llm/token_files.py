@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import CACHE_ENTRIES, pieces_of, saved, shared_folder
+from weftline.llm.common import CACHE_ENTRIES, broadcast_if_small, pieces_of, saved, shared_folder
 
 #: Characters that are cut into pieces at once.
 STEP = 1_000_000
+#: Shards whose starts are summed together; shards up to which the starts are broadcast.
+SHARD_BLOCK, BROADCAST_SHARDS = 1000, 200_000
 
 _SPACED = re.compile(r"\s ")
 _CUT = re.compile(r"(?<!\s)(?= )")
@@ -58,6 +60,9 @@ class _Numbers(dict):
 class Encoder:
     """encode() of the tokenizers library, with the ids of pieces kept.
 
+    Not every text goes through the library's encode as a whole: it is cut into pieces, and a piece that is one word goes to the
+    library's BPE model alone. Tests hold the ids against the library's own.
+
     The byte-level pattern always starts a new token group at a space that follows a character other
     than white space, and at a sign that follows a letter or digit; so the text is cut at the spaces, signs at
     a new piece's end are cut off, and each different piece is encoded by the library once.
@@ -236,7 +241,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ordered:
-        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        # Rows of one id, or of none, go to as many tasks as others do: their places part them.
+        rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     wide = "<u2" if max(_encoder(tokenizer).size, *tail, 0) <= 1 << 16 else "<u4"
@@ -286,6 +292,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     placed.mapInArrow(coded, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/docs")
 
 
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """shard, base (ids of all shards before it) of rows shard, n: a running sum within blocks of shards, by many tasks, and one over the blocks' sums."""
+    held = shards.withColumn("block", F.floor(F.col("shard") / SHARD_BLOCK))
+    blocks = held.groupBy("block").agg(F.sum("n").alias("all"))
+    blocks = blocks.select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    return held.withColumn("inside", inside).join(blocks, "block").select("shard", (F.col("before") + F.col("inside")).alias("base"))
+
+
 def read_token_files(spark: SparkSession, path: str, schema: str, per_document) -> DataFrame:
     """Decodes a folder; per_document(ids: uint32 array) gives the values of the columns named in schema.
 
@@ -294,9 +309,7 @@ def read_token_files(spark: SparkSession, path: str, schema: str, per_document)
     docs = spark.read.parquet(f"{path}/docs")
     ranked = spark.read.parquet(f"{path}/ranks").orderBy("rank").toArrow()  # as many rows as the vocabulary has ids at most
     ids = spark.sparkContext.broadcast(ranked["id"].to_numpy().astype(np.uint32))
-    # One row a shard: the ids before each shard.
-    shards = docs.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    shards = broadcast_if_small(saved(shard_starts(docs.groupBy("shard").agg(F.sum("n_tokens").alias("n"))), "shards"), BROADCAST_SHARDS)
     names = [f.split()[0] for f in schema.split(",")]
 
     def decoded(batches):
@@ -307,7 +320,7 @@ def read_token_files(spark: SparkSession, path: str, schema: str, per_document)
             rows = [per_document(x) for x in np.split(flat, np.cumsum(n)[:-1])] if len(n) else []
             yield pa.RecordBatch.from_arrays([*cols.values(), *(pa.array(x) for x in zip(*rows, strict=True))], names=[*cols, *names])
 
-    out = docs.mapInArrow(decoded, f"shard int, start long, doc_id long, n_tokens long, {schema}").join(F.broadcast(shards), "shard")
+    out = docs.mapInArrow(decoded, f"shard int, start long, doc_id long, n_tokens long, {schema}").join(shards, "shard")
     return out.select("doc_id", (F.col("start") + F.col("base")).cast("long").alias("start"), "n_tokens", *names)
 
 
