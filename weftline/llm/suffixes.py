@@ -163,11 +163,12 @@ class IndexFamily:
 
     def entries(self) -> DataFrame:
         """Written rows head, h, ctx, n of the suffixes that stand twice."""
-        found = reduce(DataFrame.unionAll, self.found).distinct()
+        # Written, so that the join deals both its sides out and Spark can split a suffix with many surroundings.
+        found = saved(reduce(DataFrame.unionAll, self.found).distinct(), "found")
         rows = reduce(DataFrame.unionAll, [level for _, level in self.levels])
         twice = rows.hint("merge").join(found, ["head", "h"], "left_semi")
         out = saved(twice.groupBy("h", "ctx").agg(F.sum("n").alias("n")), "entries")
-        discard(*self.found, *(level for _, level in self.levels))
+        discard(found, *self.found, *(level for _, level in self.levels))
         self.found, self.levels = [], []
         return out
 
