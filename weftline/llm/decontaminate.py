@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bitmap_of, broadcast_if_small, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import _hashes, bitmap_of, broadcast_if_small, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
 
 #: An item of fewer words is one seed as a whole, and so is a document of fewer.
 SEED = 3
@@ -28,6 +29,8 @@ BROADCAST_SEEDS, SALT = 200_000, 16
 STEP = 2_000_000
 #: Seeds whose counts a task holds before it passes them on.
 KNOWN = 1_000_000
+#: Pairs of an item and a stretch that are looked at together before they are aligned.
+PAIRS = 500
 
 _SIGNS = string.punctuation.encode()
 
@@ -37,6 +40,13 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "replace").translate(None, _SIGNS))
 
 
+def joined_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """words_of() of all texts, one after the other, and how many each has."""
+    each = [(t or "").encode("utf-8", "replace").translate(None, _SIGNS).lower().split() for t in texts]
+    n = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(each)), np.uint64, int(n.sum())), n
+
+
 def pairs_of(words: np.ndarray, apart: int) -> np.ndarray:
     """Hash of each word with the one that stands `apart` words on; the distance itself doesn't count."""
     if len(words) <= apart:
@@ -99,15 +109,18 @@ def widths(items: DataFrame) -> dict[int, int]:
 
 
 def seed_counts(docs: DataFrame, seeds: DataFrame, text_col: str = "text") -> DataFrame:
-    """h, n: how often the documents hold each of the seeds; others that the filter takes for some come too. Each task merges its own first."""
+    """h, times: how often each of the seeds stands in the documents without a word between; others that the filter takes for some come too. Each task merges its own first."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
 
     def counted(batches):
         total: dict[int, int] = {}
         for (texts,) in pieces_of(batches, ["text"], "text", STEP):
-            found = [held_seeds(words_of(t))[0] for t in texts]
-            found = np.concatenate(found)
-            h, n = np.unique(found[in_bitmap(found, bits.value, FILTER_BITS)].view(np.int64), return_counts=True)
+            words, n = joined_words(texts)
+            found = pairs_of(words, 1)
+            ok = in_bitmap(found, bits.value, FILTER_BITS)
+            ends = np.cumsum(n) - 1
+            ok[ends[(ends >= 0) & (ends < len(ok))]] = False  # a text's last word and the next one's first
+            h, n = np.unique(found[ok].view(np.int64), return_counts=True)
             for k, x in zip(h.tolist(), n.tolist(), strict=True):
                 total[k] = total.get(k, 0) + x
             if len(total) > KNOWN:
@@ -156,17 +169,35 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: dict[int, int], i
         base, row = TaskContext.get().partitionId() << 33, 0
         for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
             out = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                words = words_of(text)
-                grams, places = held_seeds(words)
-                for kind, w in width.items():
-                    ok = np.flatnonzero(in_bitmap(grams, bits[kind].value, FILTER_BITS))
-                    ok = ok[np.argsort(places[ok], kind="stable")]
-                    at = places[ok]
-                    for k in sorted({t for t in (*(at // w).tolist(), *(at // w - 1).tolist()) if t >= 0}):
-                        lo, hi = np.searchsorted(at, [k * w, (k + 2) * w])
-                        out.append((base + row, kind, k, doc_id, words[k * w : (k + 2) * w].astype("<u4").tobytes(), np.unique(grams[ok[lo:hi]]).view(np.int64)))
-                row += 1
+            words, n = joined_words(texts)
+            ends = np.cumsum(n)
+            begins = ends - n
+            short = np.flatnonzero((n > 0) & (n < SEED))
+            text_of = np.repeat(np.arange(len(texts)), n)
+            grams = [pairs_of(words, 1), pairs_of(words, 2)]
+            # Both words of a pair stand in one text, and it is long enough not to be a seed as a whole.
+            inside = [(text_of[: len(g)] == text_of[len(text_of) - len(g) :]) & (n[text_of[: len(g)]] >= SEED) for g in grams]
+            for kind, w in width.items():
+                hits = [np.flatnonzero(in_bitmap(g, bits[kind].value, FILTER_BITS) & ok) for g, ok in zip(grams, inside, strict=True)]
+                at, seeds_ = np.concatenate(hits), np.concatenate([g[h] for g, h in zip(grams, hits, strict=True)])
+                if len(short):
+                    whole = [whole_seed(words[begins[k] : ends[k]])[0] for k in short]
+                    own = in_bitmap(np.array(whole, np.uint64), bits[kind].value, FILTER_BITS)
+                    at, seeds_ = np.concatenate([at, begins[short[own]]]), np.concatenate([seeds_, np.array(whole, np.uint64)[own]])
+                order = np.argsort(at, kind="stable")
+                at, seeds_ = at[order], seeds_[order].view(np.int64)
+                text = text_of[at]
+                at = at - begins[text]
+                # Each place lies in two stretches, in the first w words of a text in one.
+                tile = np.concatenate([at // w, (at // w - 1)])
+                two = np.stack([np.tile(text, 2), tile])[:, tile >= 0]
+                cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+                for t, k in np.unique(two, axis=1).T.tolist():
+                    own = slice(cuts[t], cuts[t + 1])
+                    lo, hi = np.searchsorted(at[own], [k * w, (k + 2) * w]) + cuts[t]
+                    stretch = words[begins[t] + k * w : min(ends[t], begins[t] + (k + 2) * w)]
+                    out.append((base + row + t, kind, k, ids[t], stretch.astype("<u4").tobytes(), np.unique(seeds_[lo:hi])))
+            row += len(texts)
             if out:
                 c = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4]), pa.array(c[5], pa.list_(pa.int64()))], names=["rid", "kind", "tile", "doc_id", "words", "seeds"])
@@ -225,9 +256,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     def aligned(batches):
         for batch in batches:
             doc, item, kind, tile, words, own = (c.to_pylist() for c in batch.columns)
-            for at in _alike([len(x) * len(y) if _can_match(x, y) else 0 for x, y in zip(words, own, strict=True)]):
-                a = [np.frombuffer(own[k], "<u4") for k in at]
-                score, start, stop = align(a, [np.frombuffer(words[k], "<u4") for k in at])
+            words, own = ([np.frombuffer(x, "<u4").astype(np.uint64) for x in side] for side in (words, own))
+            able = np.concatenate([can_match(words[k : k + PAIRS], own[k : k + PAIRS]) for k in range(0, len(own), PAIRS)]) if own else []
+            for at in _alike([len(x) * len(y) if ok else 0 for x, y, ok in zip(words, own, able, strict=True)]):
+                a = [own[k] for k in at]
+                score, start, stop = align(a, [words[k] for k in at])
                 share = score / (MATCH * np.array([len(x) for x in a]))
                 good = np.flatnonzero(share >= LEAST)
                 first = np.array([tile[k] * width[kind[k]] for k in at], np.int64)[good]
@@ -238,14 +271,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.before")).alias("start"), "m.stop")
 
 
-def _can_match(words: bytes, own: bytes) -> bool:
-    """Whether the stretch has enough of the item's words, and of its seeds, for the least score: equal words alone add to a score, MATCH for each of the item's."""
-    own_, words_ = np.frombuffer(own, "<u4").astype(np.uint64), np.frombuffer(words, "<u4").astype(np.uint64)
-    if np.isin(own_, words_).sum() < LEAST * len(own_):
-        return False
-    if len(own_) < SEED:
-        return True
-    return int(np.isin(item_seeds(own_), held_seeds(words_)[0]).sum()) >= seeds_in_common(len(own_))
+def can_match(words: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
+    """Whether each stretch has enough of its item's words, and of its seeds, for the least score: equal words alone add to a score, MATCH for each of the item's."""
+    n = np.array([len(x) for x in own])
+    enough = np.ones(len(own), bool)
+    for parts, held, least in ((lambda x: [x], lambda x: [x], LEAST * n), (lambda x: [item_seeds(x)], lambda x: [pairs_of(x, 1), pairs_of(x, 2)], np.where(n < SEED, 0, seeds_in_common(n)))):
+        k = np.flatnonzero(enough)
+        if not len(k):
+            break
+        ours, theirs = ([[p for p in f(x[j])] for j in k] for f, x in ((parts, own), (held, words)))
+        # One sorted list for all pairs: the number of the pair parts equal words of different ones.
+        keys = []
+        for side in (ours, theirs):
+            flat = np.concatenate([p for ps in side for p in ps])
+            pair = np.repeat(np.arange(len(k)), [sum(map(len, ps)) for ps in side])
+            with np.errstate(over="ignore"):
+                keys.append((mixed(flat + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), pair))
+        both = np.isin(keys[0][0], keys[1][0])
+        enough[k] = np.bincount(keys[0][1], both, len(k)) >= least[k]
+    return enough
 
 
 def _alike(sizes: list[int], cells: int = 4_000_000) -> Iterator[list[int]]:
