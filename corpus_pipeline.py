@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, mixing, near, quality, queries, token_files
-from weftline.llm.common import saved, table
+from weftline.llm.common import Intermediates, discard, saved, table
 
 
 def quality_votes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's own tables and broadcasts go when its result is written, the result when the next one's is; the last result and the token files stay."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with Intermediates(spark) as made:
+            docs = made.kept(saved(stage(spark, docs, sf_dir), name))
+        discard(*before)
+        before = [docs]
     return docs

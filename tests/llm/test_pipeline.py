@@ -11,7 +11,7 @@ from test_near import brute as near_brute
 from test_small_ops import poisson_inverse, row_name
 
 import corpus_pipeline
-from weftline.llm import decontaminate, near, quality, queries
+from weftline.llm import common, decontaminate, near, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,9 @@ def test_odd_rows_and_clashing_columns_in_all_stages(spark):
             assert given - found == Counter([rows[1]]) or given - found == Counter([rows[0]])
     got = corpus_pipeline.STAGES[4][1](spark, docs, SF)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() == len(rows)
+
+
+def test_only_the_result_and_the_token_files_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_base", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, SF).count() > 50
+    assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["token", "token_ids"]

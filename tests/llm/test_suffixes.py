@@ -10,6 +10,11 @@ from weftline.llm import queries, suffixes
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def small_maps(monkeypatch):
+    monkeypatch.setattr(suffixes, "MAP_BITS", 20)
+
+
 def brute(rows, least):
     seen = Counter()
     for _, t in rows:

@@ -20,15 +20,69 @@ CACHE_ENTRIES = 500_000
 WORD_ENTRIES = 250_000
 
 
+class Intermediates:
+    """Folders and broadcasts made between its start and its end; the end deletes and destroys those that aren't kept.
+
+    Only for steps whose result is written within: a frame that reads a folder of it later finds nothing.
+    """
+
+    _open: list[Intermediates] = []
+
+    def __init__(self, spark: SparkSession, keep: tuple[str, ...] = ("token-files",)):
+        self.spark, self.keep = spark, [f"/weftline-{name}-" for name in keep]
+        self.paths: list[str] = []
+        self.broadcasts: list = []
+
+    def __enter__(self) -> Intermediates:
+        Intermediates._open.append(self)
+        return self
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df, of saved(), stays."""
+        self.keep.append(df.written_to)
+        return df
+
+    def __exit__(self, *error) -> None:
+        Intermediates._open.remove(self)
+        for x in self.broadcasts:
+            x.destroy()
+        for path in self.paths:
+            if not any(k in path for k in self.keep):
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def broadcast_value(spark: SparkSession, value):
+    """A broadcast that the Intermediates around it, if any, destroy."""
+    out = spark.sparkContext.broadcast(value)
+    for scope in Intermediates._open[-1:]:
+        scope.broadcasts.append(out)
+    return out
+
+
+_own_base: dict[str, str] = {}
+
+
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # A running session can't be given the setting: the folder is remembered here.
+    return _own_base.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; a temporary one only where that is unset and all runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    path = f"{_base(spark).rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    for scope in Intermediates._open[-1:]:
+        scope.paths.append(path)
+    return path
 
 
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -44,8 +98,7 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def discard(*written: DataFrame) -> None:
     """Deletes the files of saved() frames that nothing reads any more."""
     for df in written:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

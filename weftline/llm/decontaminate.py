@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _hashes, bitmap_of, broadcast_if_small, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import _hashes, bitmap_of, broadcast_if_small, broadcast_value, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
 
 #: An item of fewer words is one seed as a whole, and so is a document of fewer.
 SEED = 3
@@ -110,7 +110,7 @@ def widths(items: DataFrame) -> dict[int, int]:
 
 def seed_counts(docs: DataFrame, seeds: DataFrame, text_col: str = "text") -> DataFrame:
     """h, times: how often each of the seeds stands in the documents without a word between; others that the filter takes for some come too. Each task merges its own first."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds.select("h"), FILTER_BITS))
+    bits = broadcast_value(docs.sparkSession, bitmap_of(seeds.select("h"), FILTER_BITS))
 
     def counted(batches):
         total: dict[int, int] = {}
@@ -161,8 +161,7 @@ def tiles_with_seeds(docs: DataFrame, seeds: DataFrame, width: dict[int, int], i
 
     Every passage of up to the class's width lies within one of them. rid numbers the rows read.
     """
-    context = docs.sparkSession.sparkContext
-    bits = {kind: context.broadcast(bitmap_of(seeds.filter(F.col("kind") == kind).select("h"), FILTER_BITS)) for kind in width}
+    bits = {kind: broadcast_value(docs.sparkSession, bitmap_of(seeds.filter(F.col("kind") == kind).select("h"), FILTER_BITS)) for kind in width}
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def tiled(batches):

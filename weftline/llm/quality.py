@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import id_remainder, mixed, pieces_of, saved, with_columns, word_hashes
+from weftline.llm.common import broadcast_value, id_remainder, mixed, pieces_of, saved, with_columns, word_hashes
 
 #: Labelled documents that are used of each label at most, those whose hashed ids are smallest: the bound of the
 #: sample, and with DIMS of what is broadcast (2 * SAMPLE * (DIMS + 1) + TERMS * DIMS numbers).
@@ -163,7 +163,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     where nothing is labelled (then 1.0). Columns of docs named score or predicted are replaced.
     """
     rows = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast_value(docs.sparkSession, model)
 
     def scored(batches):
         for batch in batches:

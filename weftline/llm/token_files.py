@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import CACHE_ENTRIES, broadcast_if_small, pieces_of, saved, shared_folder
+from weftline.llm.common import CACHE_ENTRIES, broadcast_if_small, broadcast_value, pieces_of, saved, shared_folder
 
 #: Characters that are cut into pieces at once.
 STEP = 1_000_000
@@ -279,7 +279,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
-    ranks = spark.sparkContext.broadcast(rank)
+    ranks = broadcast_value(spark, rank)
 
     def coded(batches):
         for batch in batches:
@@ -308,7 +308,7 @@ def read_token_files(spark: SparkSession, path: str, schema: str, per_document)
     """
     docs = spark.read.parquet(f"{path}/docs")
     ranked = spark.read.parquet(f"{path}/ranks").orderBy("rank").toArrow()  # as many rows as the vocabulary has ids at most
-    ids = spark.sparkContext.broadcast(ranked["id"].to_numpy().astype(np.uint32))
+    ids = broadcast_value(spark, ranked["id"].to_numpy().astype(np.uint32))
     shards = broadcast_if_small(saved(shard_starts(docs.groupBy("shard").agg(F.sum("n_tokens").alias("n"))), "shards"), BROADCAST_SHARDS)
     names = [f.split()[0] for f in schema.split(",")]
 
