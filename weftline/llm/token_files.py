@@ -287,8 +287,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             control, control_ends, data, data_ends = control_and_data(ranks.value[_bytes_of(batch.column(5)).view(wide)], n)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3, 4)), _binary(control, control_ends), _binary(data, data_ends)], names=["shard", "start", "doc_id", "n_tokens", "control", "data"])
 
-    # Spark packs files into tasks by size; dealt by place, they are written in order.
-    placed = made.filter("kind = 0").repartitionByRange("shard", "start").sortWithinPartitions("shard", "start")
+    # Spark packs files into tasks by size; each shard to the task of its number, they are written in order.
+    shards = (made.agg(F.max("shard")).first()[0] or 0) + 1
+    placed = made.filter("kind = 0").repartitionById(shards, "shard").sortWithinPartitions("shard", "start")
     placed.mapInArrow(coded, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/docs")
 
 
