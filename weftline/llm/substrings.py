@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bitmap_of, broadcast_value, in_bitmap, mixed, pieces_of, saved
+from weftline.llm.common import bitmap_of, broadcast_value, discard, in_bitmap, mixed, pieces_of, saved
 
 #: A chunk ends where the top CUT_BITS bits of the hash of the last 16 bytes are 0: every 16 bytes on the mean.
 CUT_BITS = 4
@@ -209,6 +209,7 @@ def extensions(rows: DataFrame, runs: DataFrame) -> DataFrame:
     shared = saved(shared.select("key", F.col("from.doc_id").alias("first_doc"), F.col("from.ident").alias("first_ident"), F.col("from.n").alias("first_n")), "shared")
     held = near.join(shared, "key").select("ident", "n", "after", F.struct(F.when(F.col("after"), F.col("at")).otherwise(-F.col("at")).alias("reach"), "at", "words", "first_doc", ((F.col("ident") == F.col("first_ident")) & (F.col("n") == F.col("first_n"))).alias("first")).alias("x"))
     longest = saved(held.groupBy("ident", "n", "after").agg(F.max("x").alias("x")).select("ident", "n", "after", "x.at", "x.words", "x.first_doc", "x.first"), "longest")
+    discard(near, shared)
 
     low = runs.filter("before > 0").select("rid", "doc_id", "run", "ident", F.col("low_n").alias("n"), F.lit(False).alias("after"), F.col("start").alias("edge"))
     high = runs.filter("after > 0").select("rid", "doc_id", "run", "ident", F.col("high_n").alias("n"), F.lit(True).alias("after"), F.col("stop").alias("edge"))
@@ -220,9 +221,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Windows that two documents have: rid (numbers the rows read), doc_id, run (of neighbours in a document), start, stop, words, first_doc, first boolean.
 
     start and words are those of what the window adds to its run: all of it for a run's first, else its last chunk.
-    Runs that can reach least_words have a row more for each end at which they go on into the next chunk.
+    Runs that hold fewer than least_words, but can reach them with the words around, have a row more for each end
+    beyond which another document shares words with them. Longer ones count as they are.
     """
-    bits = broadcast_value(docs.sparkSession, bitmap_of(repeated_hashes(docs, text_col), FILTER_BITS))
+    hashes = repeated_hashes(docs, text_col)
+    bits = broadcast_value(docs.sparkSession, bitmap_of(hashes, FILTER_BITS))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def kept(batches):
@@ -251,18 +254,18 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = both.withColumn("run", F.col("n") - F.row_number().over(order)).withColumn("opens", F.coalesce(F.col("n") - F.lag("n").over(order) > 1, F.lit(True)))
     start, words = (F.when(F.col("opens"), F.col(x)).otherwise(F.col(f"own_{x}")).alias(x) for x in ("start", "words"))
     both = saved(both.select("rid", "doc_id", "ident", "run", "n", "h", start, "stop", words, "before", "after", "first_doc", "first"), "runs")
+    discard(hashes, some, firsts)
 
     low, high = (f(F.struct("n", "h", x, y)).alias(name) for f, x, y, name in ((F.min, "start", "before", "low"), (F.max, "stop", "after", "high")))
-    runs = both.groupBy("rid", "doc_id", "ident", "run").agg(low, high, F.sum("words").alias("w")).filter(F.col("w") + F.col("low.before") + F.col("high.after") >= least_words)
+    runs = both.groupBy("rid", "doc_id", "ident", "run").agg(low, high, F.sum("words").alias("w")).filter(f"w < {int(least_words)} AND w + low.before + high.after >= {int(least_words)}")
     runs = saved(runs.select("rid", "doc_id", "ident", "run", *(F.col(f"{e}.{x}").alias(f"{e}_{x}") for e in ("low", "high") for x in ("n", "h")), "low.start", "low.before", "high.stop", "high.after"), "ends")
     return both.select("rid", "doc_id", "run", "start", "stop", "words", "first_doc", "first").unionByName(extensions(rows, runs))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, start, stop, n_words, first_doc_id, n_cut: each run of windows that other documents have too, with what any of them shares beyond its ends, of least_words or more.
+    """doc_id, start, stop, n_words, first_doc_id, n_cut: each run of windows that other documents have too, of least_words or more. A shorter run goes on beyond its windows as far as any of them shares its words, and counts if it so has least_words.
 
-    start and stop are characters of the text, at whole words where it goes on beyond its windows; n_words the words
-    begun in it; first_doc_id the smallest id with one of the windows; n_cut the
+    start and stop are characters of the text; n_words the words begun in between; first_doc_id the smallest id with one of the windows; n_cut the
     characters of the run that stand elsewhere first (in the order of ids, null ids last, rows, places), so
     that cutting them keeps one copy of everything. Repeats within one document alone don't count. Documents
     without such a run have no row, nor do null and empty texts; rows that repeat an id are documents of their own.
