@@ -29,6 +29,8 @@ BEFORE, AFTER = 144, LONGEST
 #: Bits of a filter over digests that is broadcast. A full one lets more rows pass, but no result changes.
 FILTER_BITS = 26
 STEP = 2_000_000
+#: Bits of each of six small numbers of a window that go in one long: a window has at most WINDOW * LONGEST characters.
+FIELD = 10
 #: Ends of runs whose surroundings are hashed at a time.
 ENDS = 8192
 _PAD = b"\0" * 16
@@ -239,21 +241,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             low, high = c.low[first], c.high[last]
             before = c.begun[low] - c.begun[np.maximum(c.begins[first], low - BEFORE)] + (low > c.begins[first])
             after = c.begun[np.minimum(c.ends[last], high + AFTER)] - c.begun[high] + (high < c.ends[last])
-            numbers = [c.number[last], start[first], start[last], stop[last], c.begun[high] - c.begun[low], words[last], before, after]
+            small = [stop[last] - start[first], stop[last] - start[last], c.begun[high] - c.begun[low], words[last], before, after]
+            numbers = [c.number[last].astype(np.int32), stop[last].astype(np.int32), sum(x.astype(np.int64) << (FIELD * k) for k, x in enumerate(small)), h[ok].view(np.int64)]
             own = pa.array(c.text[last])
-            columns = [pa.array(base + row + c.text[last]), pa.array(ids, pa.int64()).take(own), pa.array(identities(ids, texts)).take(own), *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(h[ok].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "ident", "n", "start", "own_start", "stop", "words", "own_words", "before", "after", "h"])
+            columns = [pa.array(base + row + c.text[last]), pa.array(ids, pa.int64()).take(own), pa.array(identities(ids, texts)).take(own), *map(pa.array, numbers)]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "ident", "n", "stop", "small", "h"])
             row += len(texts)
 
-    some = saved(rows.mapInArrow(kept, "rid long, doc_id long, ident long, n int, start int, own_start int, stop int, words int, own_words int, before int, after int, h long"), "windows")
+    some = saved(rows.mapInArrow(kept, "rid long, doc_id long, ident long, n int, stop int, small long, h long"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "n")
     firsts = some.groupBy("h").agg(F.min(place).alias("at"), F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low < high")
     firsts = saved(firsts.select("h", F.col("at.doc_id").alias("first_doc"), F.col("at.rid").alias("first_rid"), F.col("at.n").alias("first_n")), "firsts")
     both = some.join(firsts, "h").withColumn("first", (F.col("rid") == F.col("first_rid")) & (F.col("n") == F.col("first_n")))
     order = Window.partitionBy("rid").orderBy("n")
     both = both.withColumn("run", F.col("n") - F.row_number().over(order)).withColumn("opens", F.coalesce(F.col("n") - F.lag("n").over(order) > 1, F.lit(True)))
-    start, words = (F.when(F.col("opens"), F.col(x)).otherwise(F.col(f"own_{x}")).alias(x) for x in ("start", "words"))
-    both = saved(both.select("rid", "doc_id", "ident", "run", "n", "h", start, "stop", words, "before", "after", "first_doc", "first"), "runs")
+    length, own_length, words, own_words, before, after = (F.shiftright("small", FIELD * k).bitwiseAND(F.lit((1 << FIELD) - 1)).cast("int") for k in range(6))
+    start = (F.col("stop") - F.when(F.col("opens"), length).otherwise(own_length)).alias("start")
+    words = F.when(F.col("opens"), words).otherwise(own_words).alias("words")
+    both = saved(both.select("rid", "doc_id", "ident", "run", "n", "h", start, "stop", words, before.alias("before"), after.alias("after"), "first_doc", "first"), "runs")
     discard(hashes, some, firsts)
 
     low, high = (f(F.struct("n", "h", x, y)).alias(name) for f, x, y, name in ((F.min, "start", "before", "low"), (F.max, "stop", "after", "high")))
