@@ -31,6 +31,8 @@ FILTER_BITS = 26
 STEP = 2_000_000
 #: Bits of each of six small numbers of a window that go in one long: a window has at most WINDOW * LONGEST characters.
 FIELD = 10
+#: Ends of runs go by the words they lack, in classes from these numbers on, each with a filter of so many bits.
+LACK, END_BITS = (-(1 << 30), 6, 12, 18), 24
 #: Ends of runs whose surroundings are hashed at a time.
 ENDS = 8192
 _PAD = b"\0" * 16
@@ -179,15 +181,20 @@ def repeated_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return saved(rows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h"), "hashes")
 
 
-def extensions(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """rows (doc_id, text); runs (rid, doc_id, ident, run, low_n, low_h, start, before, high_n, high_h, stop, after): what runs share with another document beyond their ends, in the form of repeated_windows().
+def extensions(rows: DataFrame, runs: DataFrame, least_words: int) -> DataFrame:
+    """rows (doc_id, text); runs (rid, doc_id, ident, run, w, low_n, low_h, start, before, high_n, high_h, stop, after): what runs share with another document beyond their ends, in the form of repeated_windows().
 
-    Each document with a run's end window hashes what surrounds it, up to each word in reach; hashes that two documents
+    Each document with a run's end window hashes what surrounds it, up to each word in reach that brings as many words
+    as the run lacks with all that its other end can bring; hashes that two documents
     have are shared, and the longest counts. So it is compared with all of them, not with the first only, and no task
     gets them all.
     """
-    ends = [runs.filter(f"{side} > 0").select(F.col(h).alias("h")) for side, h in (("before", "low_h"), ("after", "high_h"))]
-    bits = broadcast_value(rows.sparkSession, [bitmap_of(e, FILTER_BITS) for e in ends])
+    filters = []
+    for side, other, h in (("before", "after", "low_h"), ("after", "before", "high_h")):
+        lack = F.lit(least_words) - F.col("w") - F.col(other)
+        for low, high in zip(LACK, (*LACK[1:], 1 << 30), strict=True):
+            filters.append(bitmap_of(runs.filter((F.col(side) > 0) & (lack >= low) & (lack < high)).select(F.col(h).alias("h")), END_BITS))
+    bits = broadcast_value(rows.sparkSession, filters)
 
     def hashed(batches):
         for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
@@ -195,10 +202,14 @@ def extensions(rows: DataFrame, runs: DataFrame) -> DataFrame:
             first, last, h = windows(c)
             doc, ident = pa.array(ids, pa.int64()), identities(ids, texts)
             for after in (False, True):
-                some = np.flatnonzero(in_bitmap(h, bits.value[int(after)], FILTER_BITS))
+                lack = np.full(len(h), 1 << 30)
+                for k in reversed(range(len(LACK))):
+                    lack[in_bitmap(h, bits.value[len(LACK) * after + k], END_BITS)] = LACK[k]
+                some = np.flatnonzero(lack < 1 << 30)
                 for k in range(0, len(some), ENDS):
                     w = some[k : k + ENDS]
-                    row, place, words, key = surroundings(c, first[w], last[w], h[w], after)
+                    found = surroundings(c, first[w], last[w], h[w], after)
+                    row, place, words, key = (x[found[2] >= lack[w][found[0]]] for x in found)
                     end = last[w][row]
                     text, at = c.text[end], c.chars[place] - c.chars[c.begins[end]]
                     own = pa.array(text)
@@ -263,8 +274,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     low, high = (f(F.struct("n", "h", x, y)).alias(name) for f, x, y, name in ((F.min, "start", "before", "low"), (F.max, "stop", "after", "high")))
     runs = both.groupBy("rid", "doc_id", "ident", "run").agg(low, high, F.sum("words").alias("w")).filter(f"w < {int(least_words)} AND w + low.before + high.after >= {int(least_words)}")
-    runs = saved(runs.select("rid", "doc_id", "ident", "run", *(F.col(f"{e}.{x}").alias(f"{e}_{x}") for e in ("low", "high") for x in ("n", "h")), "low.start", "low.before", "high.stop", "high.after"), "ends")
-    return both.select("rid", "doc_id", "run", "start", "stop", "words", "first_doc", "first").unionByName(extensions(rows, runs))
+    runs = saved(runs.select("rid", "doc_id", "ident", "run", "w", *(F.col(f"{e}.{x}").alias(f"{e}_{x}") for e in ("low", "high") for x in ("n", "h")), "low.start", "low.before", "high.stop", "high.after"), "ends")
+    return both.select("rid", "doc_id", "run", "start", "stop", "words", "first_doc", "first").unionByName(extensions(rows, runs, least_words))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
