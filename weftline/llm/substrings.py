@@ -23,8 +23,10 @@ LONGEST = 32
 WINDOW = 4
 #: Words of a run with its extensions, from which on it counts: passages of over 50 words.
 LEAST_WORDS = 51
-#: Bytes compared before a run and after it. What is shared after a run ends before a further chunk does; what is shared
-#: before it reaches back 16 bytes and the stretch up to the first cut, over 128 bytes with a chance of 1 in 4000.
+#: Bytes that the gear hash at a byte depends on.
+SPAN = 16
+#: Bytes compared before a run and after it, at most; see Chunks.back and Chunks.on, which are mostly less. A stretch
+#: without cuts of more than BEFORE - SPAN bytes comes with a chance of 1 in 4000.
 BEFORE, AFTER = 144, LONGEST
 #: Bits of a filter over digests that is broadcast. A full one lets more rows pass, but no result changes.
 FILTER_BITS = 26
@@ -82,6 +84,11 @@ class Chunks(NamedTuple):
     digest: np.ndarray
     begins: np.ndarray
     ends: np.ndarray
+    #: Bytes before each chunk, and after it, that another text can share without sharing a whole chunk more. If it shared
+    #: the SPAN bytes before the last cut by the hash too, it would be cut from there on in the same places; so with
+    #: the bytes up to the next one.
+    back: np.ndarray
+    on: np.ndarray
     #: Bytes of all texts; characters and words begun before each of them.
     data: np.ndarray
     chars: np.ndarray
@@ -110,15 +117,20 @@ def chunks(texts: list[str | None]) -> Chunks:
     start = np.sort(np.concatenate([begins[full], cut]))
     stop = np.sort(np.concatenate([ends[full], cut]))
     more = further_cuts(start, stop, h, whole)
+    hashed = start, stop
     start, stop = np.sort(np.concatenate([start, more])), np.sort(np.concatenate([stop, more]))
     text = np.searchsorted(begins[full], start, "right") - 1
     number = np.arange(len(start)) - np.searchsorted(start, begins[full])[text]
     text = np.flatnonzero(full)[text]
+    before = np.maximum(np.searchsorted(hashed[0], start, "left") - 1, 0)
+    back = np.minimum(np.minimum(start - begins[text], BEFORE), start - hashed[0][before] + SPAN)
+    after = np.minimum(np.searchsorted(hashed[1], stop, "right"), len(hashed[1]) - 1)
+    on = np.minimum(np.minimum(ends[text] - stop, AFTER), hashed[1][after] - stop)
     chars = np.concatenate([[0], np.cumsum(whole)])
     space = _SPACE[data] | (data == 0)
     begun = np.concatenate([[0, 0], np.cumsum(~space[1:] & space[:-1])])
     digest = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
-    return Chunks(text, number, start, stop, digest, begins[text], ends[text], data, chars, begun)
+    return Chunks(text, number, start, stop, digest, begins[text], ends[text], back, on, data, chars, begun)
 
 
 def windows(c: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,10 +154,10 @@ def identities(ids: list[int | None], texts: list[str | None]) -> np.ndarray:
 
 
 def surroundings(c: Chunks, first: np.ndarray, last: np.ndarray, h: np.ndarray, after: bool) -> tuple[np.ndarray, ...]:
-    """What stands before windows, or after them, up to each beginning, or end, of letters or digits in reach: window, bytes, words begun, hash of the window with it."""
+    """What stands before windows, or after them, as far as Chunks.back and Chunks.on go, up to each beginning, or end, of letters or digits in reach: window, bytes, words begun, hash of the window with it."""
     reach = AFTER if after else BEFORE
     edge = c.high[last] if after else c.low[first]
-    room = np.minimum(reach, c.ends[last] - edge if after else edge - c.begins[first])
+    room = c.on[last] if after else c.back[first]
     steps = np.arange(reach)
     at = np.clip(edge[:, None] + (steps if after else -1 - steps), 0, len(c.data) - 1)
     letter = _LETTER[c.data[at]]
@@ -250,8 +262,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             first, last = first[ok], last[ok]
             start, stop, words = c.places()
             low, high = c.low[first], c.high[last]
-            before = c.begun[low] - c.begun[np.maximum(c.begins[first], low - BEFORE)] + (low > c.begins[first])
-            after = c.begun[np.minimum(c.ends[last], high + AFTER)] - c.begun[high] + (high < c.ends[last])
+            before = c.begun[low] - c.begun[low - c.back[first]] + (c.back[first] > 0)
+            after = c.begun[high + c.on[last]] - c.begun[high] + (c.on[last] > 0)
             small = [stop[last] - start[first], stop[last] - start[last], c.begun[high] - c.begun[low], words[last], before, after]
             numbers = [c.number[last].astype(np.int32), stop[last].astype(np.int32), sum(x.astype(np.int64) << (FIELD * k) for k, x in enumerate(small)), h[ok].view(np.int64)]
             own = pa.array(c.text[last])
