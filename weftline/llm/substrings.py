@@ -34,7 +34,7 @@ STEP = 2_000_000
 #: Bits of each of six small numbers of a window that go in one long: a window has at most WINDOW * LONGEST characters.
 FIELD = 10
 #: Ends of runs go by the words they lack, in classes from these numbers on, each with a filter of so many bits.
-LACK, END_BITS = (-(1 << 30), 6, 12, 18), 24
+LACK, END_BITS = (-(1 << 30), 3, 5, 8), 24
 #: Ends of runs whose surroundings are hashed at a time.
 ENDS = 8192
 _PAD = b"\0" * 16
@@ -100,6 +100,18 @@ class Chunks(NamedTuple):
         return self.chars[self.low] - base, self.chars[self.high] - base, self.begun[self.high] - self.begun[self.low]
 
 
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit digests of stretches of LONGEST bytes at most: sums of hashed bytes times powers by their places, with the length."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    lengths = stop - start
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_BYTES[data[np.repeat(start, lengths) + place]] * _POWERS[place], first)
+        return mixed(sums + lengths.astype(np.uint64))
+
+
 def chunks(texts: list[str | None]) -> Chunks:
     """Cuts keep to whole characters. Each text is hashed after 16 zero bytes, so other texts don't matter."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
@@ -129,8 +141,7 @@ def chunks(texts: list[str | None]) -> Chunks:
     chars = np.concatenate([[0], np.cumsum(whole)])
     space = _SPACE[data] | (data == 0)
     begun = np.concatenate([[0, 0], np.cumsum(~space[1:] & space[:-1])])
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
-    return Chunks(text, number, start, stop, digest, begins[text], ends[text], back, on, data, chars, begun)
+    return Chunks(text, number, start, stop, digests(data, start, stop), begins[text], ends[text], back, on, data, chars, begun)
 
 
 def windows(c: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +204,8 @@ def repeated_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return saved(rows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h"), "hashes")
 
 
-def extensions(rows: DataFrame, runs: DataFrame, least_words: int) -> DataFrame:
-    """rows (doc_id, text); runs (rid, doc_id, ident, run, w, low_n, low_h, start, before, high_n, high_h, stop, after): what runs share with another document beyond their ends, in the form of repeated_windows().
+def extensions(rows: DataFrame, repeated, runs: DataFrame, least_words: int) -> DataFrame:
+    """rows (doc_id, text); repeated, a broadcast bit map of the windows that two documents have; runs (rid, doc_id, ident, run, w, low_n, low_h, start, before, high_n, high_h, stop, after): what runs share with another document beyond their ends, in the form of repeated_windows().
 
     Each document with a run's end window hashes what surrounds it, up to each word in reach that brings as many words
     as the run lacks with all that its other end can bring; hashes that two documents
@@ -212,6 +223,8 @@ def extensions(rows: DataFrame, runs: DataFrame, least_words: int) -> DataFrame:
         for ids, texts in pieces_of(batches, ["doc_id", "text"], "text", STEP):
             c = chunks(texts)
             first, last, h = windows(c)
+            ok = in_bitmap(h, repeated.value, FILTER_BITS)
+            first, last, h = first[ok], last[ok], h[ok]
             doc, ident = pa.array(ids, pa.int64()), identities(ids, texts)
             for after in (False, True):
                 lack = np.full(len(h), 1 << 30)
@@ -287,7 +300,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     low, high = (f(F.struct("n", "h", x, y)).alias(name) for f, x, y, name in ((F.min, "start", "before", "low"), (F.max, "stop", "after", "high")))
     runs = both.groupBy("rid", "doc_id", "ident", "run").agg(low, high, F.sum("words").alias("w")).filter(f"w < {int(least_words)} AND w + low.before + high.after >= {int(least_words)}")
     runs = saved(runs.select("rid", "doc_id", "ident", "run", "w", *(F.col(f"{e}.{x}").alias(f"{e}_{x}") for e in ("low", "high") for x in ("n", "h")), "low.start", "low.before", "high.stop", "high.after"), "ends")
-    return both.select("rid", "doc_id", "run", "start", "stop", "words", "first_doc", "first").unionByName(extensions(rows, runs, least_words))
+    return both.select("rid", "doc_id", "run", "start", "stop", "words", "first_doc", "first").unionByName(extensions(rows, bits, runs, least_words))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
