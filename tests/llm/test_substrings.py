@@ -1,15 +1,17 @@
 """Chunking and substring dedup against brute force and planted passages."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.llm import queries, substrings
+from weftline.llm import common, queries, substrings
 
 
 def brute_chunks(text):
@@ -205,3 +207,19 @@ def test_every_copied_document_has_its_repeat(spark):
     got = queries.op7_substring_dedup(spark, sf)
     ids = {r.doc_id for r in copies.select("doc_id").collect()}
     assert ids and ids <= {r.doc_id for r in got.select("doc_id").collect()}
+
+
+def test_a_step_takes_little_memory():
+    # An executor's workers hold a step each, next to its JVM.
+    rnd = random.Random(5)
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(500)) for _ in range(1000)]})
+    tracemalloc.start()
+    try:
+        for (own,) in common.pieces_of([texts], ["text"], "text", substrings.STEP):
+            c = substrings.chunks(own)
+            first, last, h = substrings.windows(c)
+            for after in (False, True):
+                substrings.surroundings(c, first[: substrings.ENDS], last[: substrings.ENDS], h[: substrings.ENDS], after)
+        assert tracemalloc.get_traced_memory()[1] < 64_000_000
+    finally:
+        tracemalloc.stop()

@@ -30,13 +30,14 @@ SPAN = 16
 BEFORE, AFTER = 144, LONGEST
 #: Bits of a filter over digests that is broadcast. A full one lets more rows pass, but no result changes.
 FILTER_BITS = 26
-STEP = 2_000_000
+#: Bytes of texts that are chunked at once. Arrays over them take about 65 bytes for each, in every worker of an executor.
+STEP = 500_000
 #: Bits of each of six small numbers of a window that go in one long: a window has at most WINDOW * LONGEST characters.
 FIELD = 10
 #: Ends of runs go by the words they lack, in classes from these numbers on, each with a filter of so many bits.
 LACK, END_BITS = (-(1 << 30), 3, 5, 8), 24
 #: Ends of runs whose surroundings are hashed at a time.
-ENDS = 8192
+ENDS = 2048
 _PAD = b"\0" * 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
