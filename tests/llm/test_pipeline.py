@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -97,3 +98,13 @@ def test_only_the_result_and_the_token_files_stay(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "_base", lambda spark: f"file://{tmp_path}")
     assert corpus_pipeline.run(spark, SF).count() > 50
     assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["token", "token_ids"]
+
+
+def test_stages_leave_only_what_their_rows_are_read_from(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folders = lambda: set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    stages = dict(corpus_pipeline.STAGES)
+    for name, left in (("near_dedup", ["gone", "numbered"]), ("decontamination", ["leaks", "numbered"]), ("token_ids", ["shards", "token-files"])):
+        before = folders()
+        assert stages[name](spark, docs, SF).count()
+        assert sorted(x.removeprefix("weftline-").rpartition("-")[0] for x in folders() - before) == left

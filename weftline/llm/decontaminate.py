@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import _hashes, bitmap_of, broadcast_if_small, broadcast_value, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import Intermediates, _hashes, bitmap_of, broadcast_if_small, broadcast_value, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
 
 #: An item of fewer words is one seed as a whole, and so is a document of fewer.
 SEED = 3
@@ -309,6 +309,7 @@ def _alike(sizes: list[int], cells: int = 4_000_000) -> Iterator[list[int]]:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that have a match, each row by itself, whatever its doc_id. Other columns stay, whatever their names; an empty table stays empty."""
     row, bad = free_name(docs, "row"), free_name(docs, "bad")
-    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = saved(matches(rows, benchmark, id_col=row).select(F.col("doc_id").alias(bad)).distinct(), "leaks")
+    with Intermediates(docs.sparkSession) as made:
+        rows = made.kept(saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"))
+        found = made.kept(saved(matches(rows, benchmark, id_col=row).select(F.col("doc_id").alias(bad)).distinct(), "leaks"))
     return rows.join(broadcast_if_small(found, 1_000_000), F.col(row) == F.col(bad), "left_anti").drop(row)

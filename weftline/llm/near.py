@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bitmap_of, broadcast_if_small, discard, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import Intermediates, bitmap_of, broadcast_if_small, discard, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
 
 #: Sorted orders of the forest; MinHash values of a base region; further ones that decide the order within it.
 #: At a similarity of 0.8 all orders miss a pair with a chance of (1 - 0.8**5)**40 = 1e-7 in base regions, and of
@@ -336,11 +336,12 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group, the first written of those with the smallest id, or of all where none has an id. Rows without words all stay. Other columns stay, whatever their names."""
     row, away = free_name(docs, "row"), free_name(docs, "gone")
-    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = _grouped(rows, width, percent, "doc_id", "text", row).filter("hi is not null")
-    found = saved(found.select("row", "comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at")), "grouped")
-    stay = saved(found.groupBy("comp").agg(F.min("at").alias("first")), "stay")
-    gone = saved(found.join(stay, "comp").filter("row <> first.row").select(F.col("row").alias(away)), "gone")
+    with Intermediates(docs.sparkSession) as made:
+        rows = made.kept(saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"))
+        found = _grouped(rows, width, percent, "doc_id", "text", row).filter("hi is not null")
+        found = saved(found.select("row", "comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at")), "grouped")
+        stay = saved(found.groupBy("comp").agg(F.min("at").alias("first")), "stay")
+        gone = made.kept(saved(found.join(stay, "comp").filter("row <> first.row").select(F.col("row").alias(away)), "gone"))
     return rows.join(broadcast_if_small(gone, BROADCAST_ROWS), F.col(row) == F.col(away), "left_anti").drop(row)
 
 

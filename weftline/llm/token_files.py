@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import CACHE_ENTRIES, broadcast_if_small, broadcast_value, pieces_of, saved, shared_folder
+from weftline.llm.common import CACHE_ENTRIES, broadcast_if_small, broadcast_value, discard, pieces_of, saved, shared_folder
 
 #: Characters that are cut into pieces at once.
 STEP = 1_000_000
@@ -291,6 +291,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     shards = (made.agg(F.max("shard")).first()[0] or 0) + 1
     placed = made.filter("kind = 0").repartitionById(shards, "shard").sortWithinPartitions("shard", "start")
     placed.mapInArrow(coded, "shard int, start long, doc_id long, n_tokens long, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/docs")
+    discard(made)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
