@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Intermediates, _hashes, bitmap_of, broadcast_if_small, broadcast_value, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved, word_hashes
+from weftline.llm.common import Intermediates, bitmap_of, broadcast_if_small, broadcast_value, free_name, in_bitmap, mixed, ngram_hashes, pieces_of, saved
 
 #: An item of fewer words is one seed as a whole, and so is a document of fewer.
 SEED = 3
@@ -33,18 +32,44 @@ KNOWN = 1_000_000
 PAIRS = 500
 
 _SIGNS = string.punctuation.encode()
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def _of_bytes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each byte, of A-Z in lower case, with its place in a word."""
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data)
+    with np.errstate(over="ignore"):
+        return mixed(mixed(place.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * (lower.astype(np.uint64) + np.uint64(1)))
+
+
+#: Hashes of bytes at places from 1 to PLACES, by place * 256 + byte.
+PLACES = 32
+_HASHED = _of_bytes(np.tile(np.arange(256), PLACES + 1), np.repeat(np.arange(PLACES + 1), 256))
 
 
 def words_of(text: str | None) -> np.ndarray:
     """Hashes of the words in lower case without ASCII punctuation."""
-    return word_hashes((text or "").encode("utf-8", "replace").translate(None, _SIGNS))
+    return joined_words([text])[0]
 
 
 def joined_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """words_of() of all texts, one after the other, and how many each has."""
-    each = [(t or "").encode("utf-8", "replace").translate(None, _SIGNS).lower().split() for t in texts]
-    n = np.fromiter(map(len, each), np.int64, len(each))
-    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(each)), np.uint64, int(n.sum())), n
+    """words_of() of all texts, one after the other, and how many each has. A word's hash is made up of one for each of its bytes and the byte's place, for all words together."""
+    each = [(t or "").encode("utf-8", "replace").translate(None, _SIGNS) for t in texts]
+    data = np.frombuffer(b" ".join([b"", *each, b""]), np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    if len(begins):
+        place = np.arange(1, len(data) + 1, dtype=np.int32)
+        place[begins[0] :] -= np.repeat(begins.astype(np.int32), np.diff(begins, append=len(data)))
+        values = _HASHED[np.minimum(place, PLACES) * 256 + data]
+        far = np.flatnonzero((place > PLACES) & ~space)
+        values[far] = _of_bytes(data[far], place[far])
+        values[space] = 0
+        hashes = mixed(np.add.reduceat(values, begins))
+    else:
+        hashes = np.zeros(0, np.uint64)
+    return hashes, np.diff(np.searchsorted(begins, np.cumsum([len(t) + 1 for t in each])), prepend=0)
 
 
 def pairs_of(words: np.ndarray, apart: int) -> np.ndarray:
