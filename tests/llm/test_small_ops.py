@@ -118,6 +118,33 @@ def test_a_nul_after_a_space_is_kept():
         assert encoder.encode([text])[0].tolist() == want and encoder.encode_long(text).tolist() == want
 
 
+def test_words_beside_line_feeds_and_signs_are_known_again():
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    encoder.encode(["one two.\nThree, four two, one.\nThree. two"])
+    assert sorted(encoder.numbers) == ["\0\n", "\0,", "\0.", "\0Three", "\0one", "four", "one", "two"]
+
+
+def test_words_in_one_string_encode_as_alone():
+    encoder = token_files.Encoder(queries.tokenizer_path())
+    words = ["".join(chr(97 + (k * 7 + j * j) % 26) for j in range(k % 9 + 1)) for k in range(3 * token_files.WORDS + 5)] + ["é", "ñandú", "中文", "日", "Ωmega"]
+    alone = [" " * (k % 2) + w for k, w in enumerate(words)]
+    want = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in alone]
+    ids, lengths = encoder._words(alone)
+    assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+    encoder.between = None  # vocabularies without a byte for it
+    ids, lengths = encoder._words(alone)
+    assert ids.tolist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "é", "s", "1", " ", " ", "\n", "\t", "\0", ".", ",", "'", "\x1c", "\u3000", "<|endoftext|>", ".\n", ", "]), max_size=30).map("".join))
+def test_cuts_change_no_ids(text):
+    encoder = token_files._encoder(queries.tokenizer_path())
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode(["x, y", text, "b.\nc"])[1].tolist() == want
+    assert encoder.encode_long(text).tolist() == want
+
+
 def test_files_lie_in_order(spark):
     # The shards differ in size, so that Spark reads them in another order than they have.
     docs = spark.range(400).select("id", F.concat(F.lit("w"), F.repeat(F.lit(" some more"), F.when(F.col("id") < 200, 3).otherwise(((F.col("id") * 37) % 800).cast("int"))), F.col("id").cast("string")).alias("text")).withColumnRenamed("id", "doc_id")

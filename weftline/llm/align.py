@@ -53,14 +53,13 @@ class PieceEncoder(Encoder):
         parts[-1] += text[len(body) :]
         return parts
 
-    def _learn(self) -> None:
-        fresh, self.numbers.new = self.numbers.new, []
+    def _learn(self, known: int) -> None:
+        fresh = self._from(known)
         if (more := len(self.numbers) - len(self.start)) > 0:
             self.start, self.length, self.seen = (np.pad(x, (0, max(more, len(x)))) for x in (self.start, self.length, self.seen))
         ids = self.model.encode(fresh, num_threads=1)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        numbers = np.fromiter(map(self.numbers.__getitem__, fresh), np.int64, len(fresh))
-        self._keep(numbers, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        self._keep(np.arange(known, known + len(fresh)), np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
     def encode_long(self, text: str) -> np.ndarray:
         out, at, body = [], 0, len(text.rstrip(" "))
