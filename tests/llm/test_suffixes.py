@@ -73,6 +73,28 @@ def test_crowded_suffixes_equal_brute_force(spark, monkeypatch):
     assert Counter(rows_of(suffixes.digests(suffixes.covered(df, 64, batches=7)))) == want
 
 
+def test_crowded_suffixes_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "KEYS", 2000)
+    rnd = random.Random(6)
+    say = lambda k: bytes(rnd.choice(b"abcdef") for _ in range(k))
+    s, left, right = suffixes.Suffixes(64), say(40), say(64)
+    rows = []
+    for k in range(600):
+        a, b = rnd.randrange(20, 41), rnd.randrange(30, 65)
+        rows.append((7, k, left[:a] + say(40 - a), right[:b] + say(64 - b)))
+    h, ctx, before, after = (list(x) for x in zip(*rows, strict=True))
+    low, high = suffixes.reach(np.array(h), before, after, s.least, s.span)
+    parts = suffixes._counted(spark.createDataFrame(rows, "h long, ctx long, before binary, after binary"), s).rdd.glom().collect()
+    got = {}
+    for r in (r for p in parts for r in p):
+        x = got.setdefault(r.ctx, [0, 0])
+        x[:] = max(x[0], r.low), max(x[1], r.high)
+    assert got == {k: [low[k], high[k]] for k in ctx if low[k] >= 0}
+    assert 300 < len(got) < 600
+    # Before, one small file was one task, whatever it had to hash.
+    assert max(len(p) for p in parts) < 120
+
+
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = Counter(brute([(r.doc_id, r.text) for r in docs.collect()], 400))
