@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from weftline.llm import queries, suffixes
 
@@ -95,6 +96,42 @@ def test_crowded_suffixes_are_dealt_over_tasks(spark, monkeypatch):
     assert max(len(p) for p in parts) < 120
 
 
+@pytest.mark.parametrize("least", [64, 400])
+def test_work_on_crowded_suffixes_follows_their_number(spark, monkeypatch, least):
+    """Runs of one word of many lengths, with texts around them that two suffixes share in part."""
+    monkeypatch.setattr(suffixes, "KEYS", {64: 500, 400: 2000}[least])
+    s, hashes = suffixes.Suffixes(least), spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def __init__(self, counter):
+            self.counter = counter
+
+        def xxh3_64_intdigest(self, *what):
+            self.counter.add(1)
+            return xxhash.xxh3_64_intdigest(*what)
+
+    monkeypatch.setattr(suffixes, "xxhash", Counting(hashes))
+    n, rnd, spent = {64: 120, 400: 60}[least], random.Random(7), []
+    say = lambda k: bytes(rnd.choice(b"abcdefgh") for _ in range(k))
+    for times in (1, 4):
+        rows = []
+        for k in range(n * times):
+            i, j = rnd.randrange(s.span + 20), rnd.randrange(s.key, least + 80)
+            if k % 3 != 1:
+                left, right = (b" fo" * least)[:i] + say(s.span), (b"of " * least)[:j] + say(least)
+            i, j = rnd.randrange(s.span * 3 // 4, s.span), rnd.randrange(least * 7 // 8, least)
+            rows.append((9, k, (left[:i] + say(s.span))[: s.span - 1], (right[:j] + say(least))[:least]))
+        h, ctx, before, after = (list(x) for x in zip(*rows, strict=True))
+        low, high = suffixes.reach(np.array(h), before, after, s.least, s.span)
+        was = hashes.value
+        got = suffixes._counted(spark.createDataFrame(rows, "h long, ctx long, before binary, after binary"), s).groupBy("h", "ctx").agg({"low": "max", "high": "max"}).collect()
+        spent.append(hashes.value - was)
+        assert {r.ctx: (r["max(low)"], r["max(high)"]) for r in got} == {k: (low[k], high[k]) for k in ctx if low[k] >= 0}
+        assert n * times // 4 < len(got) < n * times
+    # Before, all strings were hashed again for each block of those that stand twice, so that the work grew with the square.
+    assert spent[1] < 5 * spent[0], spent
+
+
 def test_documents_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = Counter(brute([(r.doc_id, r.text) for r in docs.collect()], 400))
